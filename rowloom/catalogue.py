@@ -1,4 +1,195 @@
-"""The registered queries."""
+"""The registered queries: each operator through the builder, with the same result as SQL where SQL can say it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import cells
+from .plans.query import Query
+from .sources.files import work_folder
+from .sources.table import Table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str, state_dir: str | None = None) -> Table:
+    return Table(spark, f"{sf_dir}/{name}.parquet", "parquet", state_dir=state_dir or f"{sf_dir}/.rowloom/{name}", name=name)
+
+
+def _own(spark: SparkSession, sf_dir: str, name: str) -> Table:
+    """A table whose changes go to a folder of this call."""
+    return _table(spark, sf_dir, name, work_folder(spark, f"state-{name}"))
+
+
+def _register(name: str, sql: str | None = None):
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def _rows(name: str, table: str, build: Callable[[Query], Query], sql: str) -> None:
+    _register(name, sql)(lambda spark, sf_dir: build(_table(spark, sf_dir, table).find()).frame())
+
+
+def _made(name: str, table: str, build: Callable[[Query], DataFrame], sql: str) -> None:
+    _register(name, sql)(lambda spark, sf_dir: build(_table(spark, sf_dir, table).find()))
+
+
+# --- scans, projections, predicates ---------------------------------------------------------------------------------
+
+_rows("scan_all", "nation", lambda q: q, "SELECT * FROM nation")
+_rows("select_cols", "customer", lambda q: q.select("c_custkey", "c_name"), "SELECT c_custkey, c_name FROM customer")
+_rows("where_eq", "orders", lambda q: q.select("o_orderkey", "o_totalprice").where("o_orderstatus", "F"),
+      "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+_rows("where_hash", "orders", lambda q: q.select("o_orderkey").where({"o_orderstatus": "F", "o_orderpriority": "1-URGENT"}),
+      "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+_rows("where_composite", "lineitem", lambda q: q.select("l_orderkey", "l_linenumber").where([["l_returnflag", "l_linestatus"], ["R", "F"]]),
+      "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'")
+_rows("where_neq", "customer", lambda q: q.select("c_custkey", "c_mktsegment").where(["<>", "c_mktsegment", "FURNITURE"]),
+      "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment <> 'FURNITURE'")
+_rows("where_range", "lineitem", lambda q: q.select("l_orderkey", "l_linenumber", "l_quantity").where([">", "l_quantity", 45]).and_where(["<=", "l_discount", 0.05]),
+      "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45 AND l_discount <= 0.05")
+_rows("where_or", "orders", lambda q: q.select("o_orderkey").where({"o_orderstatus": "P"}).or_where([">=", "o_totalprice", 400000]),
+      "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' OR o_totalprice >= 400000")
+_rows("nested_and_or", "lineitem",
+      lambda q: q.select("l_orderkey", "l_linenumber").where(["or", {"l_returnflag": "A"}, ["and", [">", "l_quantity", 48], {"l_linestatus": "O"}]]),
+      "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'A' OR (l_quantity > 48 AND l_linestatus = 'O')")
+_rows("where_not", "part", lambda q: q.select("p_partkey").where(["not", ["or", [">", "p_size", 25], {"p_type": "ECONOMY"}]]),
+      "SELECT p_partkey FROM part WHERE NOT (p_size > 25 OR p_type = 'ECONOMY')")
+_rows("where_json", "orders",
+      lambda q: q.select("o_orderkey").where_json('{"operator":"AND","children":[{"operator":"=","column":"o_orderstatus","value":"O"},{"operator":">","column":"o_totalprice","value":200000}]}'),
+      "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 200000")
+_rows("where_sql", "part", lambda q: q.select("p_partkey").where_sql("p_size % 7 = 0"), "SELECT p_partkey FROM part WHERE p_size % 7 = 0")
+_rows("like_pct", "part", lambda q: q.select("p_partkey", "p_name").where(["like", "p_name", "%WIDGET"]),
+      "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%WIDGET'")
+_rows("like_underscore", "part", lambda q: q.select("p_partkey", "p_brand").where(["like", "p_brand", "brand#1_"]),
+      "SELECT p_partkey, p_brand FROM part WHERE p_brand ILIKE 'brand#1_'")
+_rows("like_contains", "part", lambda q: q.compare_as("bytes").select("p_partkey", "p_name").where(["like", "p_name", "small"]),
+      "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'small')")
+_rows("in_list", "supplier", lambda q: q.select("s_suppkey", "s_nationkey").where(["in", "s_nationkey", [1, 3, 5, 7]]),
+      "SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey IN (1, 3, 5, 7)")
+_rows("not_in_list", "customer", lambda q: q.select("c_custkey").where(["not in", "c_mktsegment", ["FURNITURE", "BUILDING"]]),
+      "SELECT c_custkey FROM customer WHERE c_mktsegment NOT IN ('FURNITURE', 'BUILDING')")
+_rows("between_num", "lineitem", lambda q: q.select("l_orderkey", "l_linenumber").where(["between", "l_discount", 0.05, 0.07]),
+      "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07")
+_rows("not_between", "part", lambda q: q.select("p_partkey", "p_size").where(["not between", "p_size", 10, 40]),
+      "SELECT p_partkey, p_size FROM part WHERE p_size NOT BETWEEN 10 AND 40")
+_rows("is_null_rule", "documents", lambda q: q.select("doc_id").where(["is", "lang", None]),
+      "SELECT doc_id FROM documents WHERE lang IS NULL OR lang = '' OR lang = 'NULL'")
+_made("is_not_null_rule", "documents", lambda q: q.where(["is not", "lang", None]).count_frame(),
+      "SELECT COUNT(*) AS cnt FROM documents WHERE NOT (lang IS NULL OR lang = '' OR lang = 'NULL')")
+_made("is_not_value", "customer", lambda q: q.where(["is not", "c_mktsegment", "BUILDING"]).count_frame(),
+      "SELECT COUNT(*) AS cnt FROM customer WHERE c_mktsegment IS DISTINCT FROM 'BUILDING'")
+_rows("filter_where", "orders", lambda q: q.select("o_orderkey").filter_where({"o_orderstatus": "", "o_orderpriority": "2-HIGH", "o_custkey": None}),
+      "SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH'")
+_rows("loose_numeric", "orders", lambda q: q.select("o_orderkey").where([">", "o_orderkey", "990"]),
+      "SELECT o_orderkey FROM orders WHERE TRY_CAST(CAST(o_orderkey AS VARCHAR(20)) AS DOUBLE) > 990")
+_rows("bytes_compare", "orders", lambda q: q.compare_as("bytes").select("o_orderkey").where([">", "o_orderkey", "990"]),
+      "SELECT o_orderkey FROM orders WHERE CAST(o_orderkey AS VARCHAR) > '990'")
+
+# --- aggregates -----------------------------------------------------------------------------------------------------
+
+_made("count_all", "lineitem", lambda q: q.count_frame(), "SELECT COUNT(*) AS cnt FROM lineitem")
+_made("count_where", "lineitem", lambda q: q.where(["and", {"l_returnflag": "R"}, [">", "l_quantity", 30]]).count_frame(),
+      "SELECT COUNT(*) AS cnt FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 30")
+_made("agg_scalar", "orders",
+      lambda q: q.where("o_orderstatus", "F").aggregate_frame({"s": ("sum", "o_totalprice"), "a": ("avg", "o_totalprice"), "mn": ("min", "o_totalprice"), "mx": ("max", "o_totalprice")})
+      .select(F.round("s", 2).alias("s"), F.round("a", 6).alias("a"), "mn", "mx"),
+      "SELECT ROUND(SUM(o_totalprice), 2) AS s, ROUND(AVG(o_totalprice), 6) AS a, MIN(o_totalprice) AS mn, MAX(o_totalprice) AS mx FROM orders WHERE o_orderstatus = 'F'")
+_made("group_count", "customer", lambda q: q.group_by("c_mktsegment").aggregate_frame({"cnt": ("count", "*")}),
+      "SELECT c_mktsegment, COUNT(*) AS cnt FROM customer GROUP BY c_mktsegment")
+_made("group_sum", "lineitem", lambda q: q.group_by("l_returnflag").aggregate_frame({"s": ("sum", "l_extendedprice")}).withColumn("s", F.round("s", 2)),
+      "SELECT l_returnflag, ROUND(SUM(l_extendedprice), 2) AS s FROM lineitem GROUP BY l_returnflag")
+_made("group_avg", "lineitem", lambda q: q.group_by("l_linestatus").aggregate_frame({"a": ("avg", "l_quantity")}).withColumn("a", F.round("a", 6)),
+      "SELECT l_linestatus, ROUND(AVG(l_quantity), 6) AS a FROM lineitem GROUP BY l_linestatus")
+_made("group_min_max", "events", lambda q: q.group_by("event_type").aggregate_frame({"mn": ("min", "value"), "mx": ("max", "value")}),
+      "SELECT event_type, MIN(value) AS mn, MAX(value) AS mx FROM events GROUP BY event_type")
+_made("group_multi_col", "lineitem",
+      lambda q: q.where(["<", "l_quantity", 40]).group_by("l_returnflag", "l_linestatus").aggregate_frame({"cnt": ("count", "*"), "q": ("sum", "l_quantity")}).withColumn("q", F.round("q", 2)),
+      "SELECT l_returnflag, l_linestatus, COUNT(*) AS cnt, ROUND(SUM(l_quantity), 2) AS q FROM lineitem WHERE l_quantity < 40 GROUP BY l_returnflag, l_linestatus")
+_made("distinct_values", "orders", lambda q: q.select("o_orderstatus", "o_orderpriority").distinct_frame(),
+      "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+_made("count_groups", "orders", lambda q: q.group_by("o_orderpriority").count_frame(), "SELECT COUNT(DISTINCT o_orderpriority) AS cnt FROM orders")
+_made("count_distinct", "lineitem", lambda q: q.group_by("l_returnflag").aggregate_frame({"parts": ("distinct", "l_partkey")}),
+      "SELECT l_returnflag, COUNT(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_returnflag")
+_rows("group_first_row", "lineitem",
+      lambda q: q.select("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber").group_by("l_returnflag", "l_linestatus")
+      .order_by("l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"),
+      "SELECT l_returnflag, l_linestatus, l_orderkey, l_linenumber FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_returnflag, l_linestatus "
+      "ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem) t WHERE rn = 1")
+_made("exists_true", "orders", lambda q: q.where("o_orderstatus", "P")._filtered().limit(1).agg((F.count("*") > 0).alias("found")),
+      "SELECT COUNT(*) > 0 AS found FROM orders WHERE o_orderstatus = 'P'")
+_made("numeric_or_zero_sum", "events",
+      lambda q: q.group_by("event_type").aggregate_frame({"s": ("sum", "props")}, text_as_zero=True),
+      "SELECT event_type, SUM(COALESCE(TRY_CAST(props AS DOUBLE), 0.0)) AS s FROM events GROUP BY event_type")
+
+# --- order, limits, keys --------------------------------------------------------------------------------------------
+
+_rows("top_k", "orders", lambda q: q.select("o_orderkey", "o_totalprice").order_by("o_totalprice desc, o_orderkey").limit(10),
+      "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+_rows("order_offset", "customer", lambda q: q.select("c_custkey", "c_acctbal").order_by("c_mktsegment").add_order_by({"c_acctbal": "desc"}, "c_custkey").limit(20).offset(15),
+      "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 20 OFFSET 15")
+_rows("one_row", "part", lambda q: q.select("p_partkey", "p_name").where([">", "p_size", 40]).order_by("p_partkey").limit(1),
+      "SELECT p_partkey, p_name FROM part WHERE p_size > 40 ORDER BY p_partkey LIMIT 1")
+_rows("first_column", "region", lambda q: q.select("r_name"), "SELECT r_name FROM region")
+_made("index_by_last_wins", "orders", lambda q: q.select("o_orderstatus", "o_orderkey").order_by("o_orderkey").keyed("o_orderstatus"),
+      "SELECT o_orderstatus, MAX(o_orderkey) AS o_orderkey FROM orders GROUP BY o_orderstatus")
+
+# --- indexes, virtual columns, updates, appends ---------------------------------------------------------------------
+
+
+@_register("index_lookup", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey = 42")
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _own(spark, sf_dir, "lineitem")
+    table.create_index(["l_orderkey"])
+    return table.find().select("l_orderkey", "l_linenumber", "l_partkey").where({"l_orderkey": 42}).frame()
+
+
+@_register("index_composite", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 49")
+def index_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _own(spark, sf_dir, "lineitem")
+    table.create_index([["l_returnflag", "l_linestatus"]])
+    return table.find().select("l_orderkey", "l_linenumber", "l_partkey").where(["and", {"l_returnflag": "R", "l_linestatus": "F"}, [">", "l_quantity", 49]]).frame()
+
+
+@_register("virtual_column", "SELECT r_regionkey, r_name, 'UNKNOWN' AS zone FROM region")
+def virtual_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _own(spark, sf_dir, "region")
+    table.add_column("zone", "UNKNOWN")
+    return table.find().frame()
+
+
+@_register("update_overlay", "SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 'INACTIVE' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def update_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _own(spark, sf_dir, "customer")
+    table.update({"c_mktsegment": "INACTIVE"}, {"c_nationkey": 3})
+    return table.find().select("c_custkey", "c_mktsegment").frame()
+
+
+@_register("insert_append", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99, 'ATLANTIS'")
+def insert_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _own(spark, sf_dir, "region")
+    table.insert({"r_regionkey": 99, "r_name": "ATLANTIS"})
+    return table.find().select("r_regionkey", "r_name").frame()
+
+
+# --- functions of cells ---------------------------------------------------------------------------------------------
+
+_made("column_fns", "supplier", lambda q: q._filtered().select("s_suppkey", cells.trim(cells.upper(F.col("s_name"))).alias("up"), cells.lower(F.col("s_name")).alias("lo")),
+      "SELECT s_suppkey, TRIM(UPPER(s_name)) AS up, LOWER(s_name) AS lo FROM supplier")
+_made("cell_casts", "events", lambda q: q._filtered().select("event_id", cells.numeric(F.col("props")).alias("is_num"), cells.as_float(F.col("props")).alias("f")),
+      "SELECT event_id, TRY_CAST(props AS DOUBLE) IS NOT NULL AS is_num, COALESCE(TRY_CAST(props AS DOUBLE), 0.0) AS f FROM events")
+_made("cell_bool", "labels", lambda q: q._filtered().select("doc_id", cells.as_bool(F.col("toxic")).alias("b")),
+      "SELECT doc_id, LOWER(TRIM(CAST(toxic AS VARCHAR(20)))) IN ('1','true','yes','on','y') AS b FROM labels")
+_made("cell_validate", "customer",
+      lambda q: q._filtered().select("c_custkey", F.size(cells.errors(F.col("c_name"), ["required", "numeric", "email", "min:5", "max:8"])).alias("n_errors")),
+      "SELECT c_custkey, CAST((coalesce(c_name, '') = '') AS INT) + CAST((coalesce(c_name, '') <> '' AND TRY_CAST(c_name AS DOUBLE) IS NULL) AS INT) "
+      "+ CAST((coalesce(c_name, '') <> '' AND NOT contains(c_name, '@')) AS INT) + CAST((strlen(coalesce(c_name, '')) < 5) AS INT) + CAST((strlen(coalesce(c_name, '')) > 8) AS INT) AS n_errors FROM customer")
