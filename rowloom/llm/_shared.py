@@ -2,40 +2,22 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import work_folder
+
 # The 26 letters that contracts lower-case, and nothing else.
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset in local mode a temporary one.
-
-    On a cluster an unset folder is an error, since a machine-local folder would lose data.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = os.path.join(tempfile.gettempdir(), f"rowloom-{os.getpid()}")
-    os.makedirs(own, exist_ok=True)
-    return "file://" + own
-
-
 def scratch(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder (in a folder for each value of `by`) and read it back: lineage ends
-    here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """Write df as Parquet into the folder that all executors share (in a folder for each value of `by`) and read it back:
+    lineage ends here and survives lost executors."""
+    path = work_folder(df.sparkSession, tag)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
