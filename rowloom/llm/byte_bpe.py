@@ -5,7 +5,7 @@ last token of the shorter prefix. While bytes are read, only the ends of prefixe
 still grow stay alive. A state of the transducer is what tells these live ends apart: the bytes since the first
 of them and, for each, its tokens since their common ancestor. Tokens before the common ancestor can't change any
 more and are emitted, so lookahead is bounded by the longest token. States and transitions are made when first
-met and dropped together when there are too many, as lazily determinised automata do.
+met; once there are MAX_STATES, further ones are made for the word at hand only.
 
 Defined results: a null text encodes as the empty one, to no ids; texts of any length are encoded whole.
 """
@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_STATES = 160_000
-MAX_WORDS = 150_000
+MAX_STATES = 120_000
+MAX_WORDS = 100_000
 _ALONE = ((0, ()),)  # the live ends of a state that waits for nothing
 
 
@@ -59,8 +59,12 @@ class Transducer:
             if len(token) > 1 and (halves := self._halves(token, rank)):
                 self.merge[rank] = halves
                 self.joined[halves] = rank
-        self.follows: dict[tuple[int, int], bool] = {}
-        self.reset()
+        self.follows: dict[int, bool] = {}
+        self.ids: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.final: list[tuple[int, ...]] = []
+        self.step: dict[int, int | tuple[int, tuple[int, ...]]] = {}  # by state << 8 | byte; a bare state emits nothing
+        self._state((b"", -1, _ALONE))
 
     def _halves(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one: what merges of lower rank leave of its bytes."""
@@ -72,18 +76,13 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return tuple(ranks[p] for p in parts) if all(p in ranks for p in parts) else None
 
-    def reset(self) -> None:
-        """Forget all states but the first."""
-        self.ids: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.final: list[tuple[int, ...]] = []
-        self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._state((b"", -1, _ALONE))
-
-    def _state(self, key: tuple) -> int:
-        """key: the bytes since the first live end, the token before the common ancestor, and (bytes back, tokens) of each live end."""
+    def _state(self, key: tuple) -> int | tuple:
+        """key: the bytes since the first live end, the token before the common ancestor, and (bytes back, tokens) of each live end.
+        Its number, or the key itself if there is no room for one more."""
         if (i := self.ids.get(key)) is None:
-            i = self.ids[key] = len(self.states)
+            if (i := len(self.states)) >= self.max_states:
+                return key
+            self.ids[key] = i
             self.states.append(key)
             self.final.append(key[2][-1][1])
         return i
@@ -91,7 +90,7 @@ class Transducer:
     def may_follow(self, a: int, b: int) -> bool:
         """Whether BPE leaves token a directly before token b: undo the merges on both sides of the border, latest
         first, and see whether an earlier merge would have crossed it."""
-        key = (a, b)
+        key = a << 32 | b
         if (known := self.follows.get(key)) is not None:
             return known
         merge, joined, before, fits = self.merge, self.joined, 1 << 60, True
@@ -106,11 +105,13 @@ class Transducer:
                 before, a = a, late_a[1]
             else:  # equal merges happen from the left: one that crosses the border goes before b's
                 before, b = b + 1, late_b[0]
-        self.follows[key] = fits
+        if len(self.follows) < 2 * self.max_states:
+            self.follows[key] = fits
         return fits
 
-    def _advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        tail, lead, ends = self.states[state]
+    def _advance(self, state: int | tuple, byte: int) -> tuple[int | tuple, tuple[int, ...]]:
+        known = type(state) is int
+        tail, lead, ends = self.states[state] if known else state
         tail += bytes((byte,))
         size, new = len(tail), None
         for back, tokens in ends:
@@ -140,47 +141,45 @@ class Transducer:
             else:
                 lead = -2
             key = (tail[size - live[0][0] :], lead, tuple([(back, t[n:]) for back, t in live]) if n else tuple(live))
-        if len(self.states) >= self.max_states:
-            raise MemoryError
-        made = self.step[state << 8 | byte] = (self._state(key), out)
-        return made
+        to = self._state(key)
+        if known and type(to) is int:
+            self.step[state << 8 | byte] = (to, out) if out else to
+        return to, out
 
     def encode(self, word: bytes) -> list[int]:
         if (whole := self.ranks.get(word)) is not None:
             return [whole]
         out: list[int] = []
-        try:
-            state, step = 0, self.step
-            for byte in word:
-                hop = step.get(state << 8 | byte) or self._advance(state, byte)
-                state = hop[0]
-                if hop[1]:
-                    out += hop[1]
-            out += self.final[state]
-            return out
-        except MemoryError:  # too many states: start over with none, and let a long word have as many as it needs
-            self.reset()
-            most, self.max_states = self.max_states, max(self.max_states, 2 * len(word) + 2)
-            try:
-                return self.encode(word)
-            finally:
-                self.max_states = most
+        state, step = 0, self.step
+        for byte in word:
+            hop = step.get(state << 8 | byte) if type(state) is int else None
+            if type(hop) is int:
+                state = hop
+                continue
+            state, emitted = hop or self._advance(state, byte)
+            out += emitted
+        out += self.final[state] if type(state) is int else state[2][-1][1]
+        return out
 
 
 class _Words(dict):
-    """Encoded words, as bytes of little-endian 32-bit ids; all are dropped when there are too many."""
+    """Encoded words, as bytes of little-endian 32-bit ids. When there are too many, only those used since the last such
+    time are kept."""
 
     def __init__(self, machine: Transducer, most: int):
         super().__init__()
-        self.machine, self.most = machine, most
+        self.machine, self.most, self.older = machine, most, {}
 
     def __missing__(self, word: str) -> bytes:
+        if (ids := self.older.get(word)) is None:
+            raw = word.encode("utf-8", "surrogatepass")
+            ids = array("i", self.machine.encode(raw)).tobytes()
+            if len(raw) > 64:
+                return ids
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        raw = word.encode("utf-8", "surrogatepass")
-        ids = array("i", self.machine.encode(raw)).tobytes()
-        if len(raw) <= 64:
-            self[word] = ids
+        self[word] = ids
         return ids
 
 
