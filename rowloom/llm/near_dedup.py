@@ -7,8 +7,8 @@ common band key are candidates; what the sketches put surely below the threshold
 the full sets. A pair at the threshold 0.8 meets in a band but for 1.2e-7, and passes the sketches but for about 1e-5.
 
 Candidates are taken so that no group of copies becomes all its pairs: first each class with one hub, then with a hub of each
-of its buckets that it isn't connected to yet, and at last all pairs of a bucket that are still unconnected, compared by
-their sketches in blocks, each pair in its first common band only. A pair whose ends are connected already can't
+of its buckets that it isn't connected to yet, and at last all pairs of a bucket that are still unconnected, compared in
+blocks in memory, each pair in its first common band only. A pair whose ends are connected already can't
 change a component, so none is lost by skipping it.
 
 Defined results: a null text, and one without words, has an empty set and is linked with nothing; a text of fewer words than
@@ -36,7 +36,7 @@ HASHES = BANDS * ROWS
 SKETCH_WORDS = 16
 SKETCH_BITS = 64 * SKETCH_WORDS
 MARGIN = 0.16  # of similarity, about five standard deviations of the sketches' estimate
-BLOCK = 2048  # classes of a bucket that are compared with as many others at once
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21  # classes of a bucket, or shingles, that are compared with as many others at once
 
 _rng = np.random.default_rng(20)
 _FLIP = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -149,12 +149,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of docs: id_col, n_shingles, component_id (the smallest id reachable) and kept."""
     signed = scratch(signatures(docs, size, id_col, text_col), "near-signatures")
     usable = signed.filter("id is not null and cls is not null")
-    classes = usable.groupBy("cls").agg(F.min("id").alias("first"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
+    classes = usable.groupBy("cls").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     classes = scratch(classes.withColumn("rep", F.monotonically_increasing_id()), "near-classes")
-    member = classes.select("rep", F.explode("bands").alias("key"))
+    member = classes.select("rep", "n", F.explode("bands").alias("key"))
     draw = F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("rep"))
-    shared = member.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("hub"), F.min(draw).alias("draw")).filter("m > 1")
-    active = scratch(member.join(shared.select("key", "m", "hub", F.col("draw.rep").alias("drawn")), "key"), "near-active")
+    shared = member.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("weight"), F.min("rep").alias("hub"), F.min(draw).alias("draw")).filter("m > 1")
+    active = scratch(member.drop("n").join(shared.select("key", "m", "weight", "hub", F.col("draw.rep").alias("drawn")), "key"), "near-active")
     reps = scratch(
         classes.join(active.select("rep").distinct(), "rep").select("rep", "first", "cls", "odd", "bands"), "near-reps"
     )  # the classes that share a bucket at all
@@ -169,8 +169,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comp = _connect(comp, _links(second, reps, sets, threshold))
 
     open_keys = active.join(comp, "rep").groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c <> d").select("key")
-    rest = active.filter("m > 2").join(open_keys, "key", "left_semi").select("key", "m", "rep").join(comp, "rep").join(reps.select("rep", "odd", "bands"), "rep")
-    comp = _connect(comp, _links(_open_pairs(rest, threshold), reps, sets, threshold))
+    rest = active.filter("m > 2").join(open_keys, "key", "left_semi").select("key", "m", "weight", "rep")
+    rest = rest.join(comp, "rep").join(reps.select("rep", "odd", "bands"), "rep").join(sets, "rep")
+    comp = _connect(comp, _open_links(rest, threshold))
 
     named = comp.join(reps.select("rep", "first", "cls"), "rep")
     smallest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
@@ -229,32 +230,51 @@ def _connect(comp: DataFrame, links: DataFrame) -> DataFrame:
     return scratch(comp.join(merged, "comp", "left").select("rep", F.coalesce("new", "comp").alias("comp")), "near-comp")
 
 
-def _open_pairs(rest: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of a bucket in different components that the sketches don't rule out. A bucket of any size is compared
-    block by block."""
+def _open_links(rest: DataFrame, threshold: int) -> DataFrame:
+    """Links between classes of a bucket that are in different components, enough to connect all that are linked. A bucket of
+    any size is compared block by block, in memory; the likeliest pairs come first, since what they connect
+    needs no further look."""
     most = most_bits(threshold)
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int")
     rows = rest.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    rows = rows.select("key", "low", "high", "own", "rep", "comp", "odd", "bands", "shingles")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         number, low, high = key
         own = group["own"].to_numpy()
-        rep, comp = group["rep"].to_numpy(), group["comp"].to_numpy()
-        odd, bands = np.array(group["odd"].tolist(), np.int64), np.array(group["bands"].tolist(), np.int64)
+        rep, comp, sets = group["rep"].to_numpy(), group["comp"].to_numpy(), group["shingles"].tolist()
+        odd, bands = np.array(group["odd"].tolist(), np.int64).view(np.uint64), np.array(group["bands"].tolist(), np.int64)
+        band = int(np.flatnonzero((bands == number).all(axis=0))[0])
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        band = int(np.flatnonzero((bands == number).all(axis=0))[0]) if len(rep) else 0
-        a, b = [], []
-        for i in left if len(left) and len(right) else []:
+        likely: list[np.ndarray] = []
+        for i in left if len(right) else []:
             js = right[(comp[right] != comp[i]) & ((rep[right] < rep[i]) if low == high else True)]
-            js = js[np.bitwise_count((odd[js] ^ odd[i]).view(np.uint64)).sum(axis=1) <= most]
-            if band and len(js):
-                js = js[~(bands[js, :band] == bands[i, :band]).any(axis=1)]
-            a += np.maximum(rep[i], rep[js]).tolist()
-            b += np.minimum(rep[i], rep[js]).tolist()
-        return pd.DataFrame({"a": a, "b": b}).astype("int64")
-
-    return rows.groupBy("key", "low", "high").applyInPandas(compare, "a bigint, b bigint")
+            bits = np.bitwise_count(odd[js] ^ odd[i]).sum(axis=1)
+            js, bits = js[bits <= most], bits[bits <= most]
+            if band and len(js):  # pairs are looked at in their first common band
+                new = ~(bands[js, :band] == bands[i, :band]).any(axis=1)
+                js, bits = js[new], bits[new]
+            if len(js):
+                likely.append(np.stack([bits.astype(np.int64), np.full(len(js), i), js]))
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (above := up.get(c, c)) != c:
+                up[c] = c = up.get(above, above)
+            return c
+
+        out = []
+        if likely:
+            pairs = np.concatenate(likely, axis=1)
+            for _, i, j in pairs[:, np.argsort(pairs[0], kind="stable")].T.tolist():
+                a, b = root(int(comp[i])), root(int(comp[j]))
+                if a != b and confirmed(sets[i], sets[j], threshold):
+                    up[max(a, b)] = min(a, b)
+                    out.append((int(max(rep[i], rep[j])), int(min(rep[i], rep[j]))))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return scratch(rows.groupBy("key", "low", "high").applyInPandas(compare, "a bigint, b bigint"), "near-links")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
