@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ._shared import ascii_lower, scratch, shuffle_width
 
 SLICE_BITS_MAX = 12
+SALTS = 16  # tasks over which the copies of one text are dealt for verification
 
 
 class QuotientFilter:
@@ -167,10 +168,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.max(F.struct("id", "row")).alias("keep"), F.count("*").alias("size"))
         .join(repeated, "fp", "left_semi")
     )
+    spread = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     texts = (
-        docs.select(norm.alias("norm"))
+        docs.select(norm.alias("norm"), F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(SALTS)).cast("int").alias("salt"))
         .withColumn("fp", F.xxhash64("norm"))
-        .join(repeated.hint("shuffle_hash"), "fp", "left_semi")
+        .join(spread.hint("shuffle_hash"), ["fp", "salt"], "left_semi")
         .groupBy("fp", "norm")
         .agg(F.lit(1).alias("one"))
     )
