@@ -37,14 +37,15 @@ CARD = r"(?<![\w])(?:\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}|\d{4}[ -]\d{6}[
 ANY = "|".join((EMAIL, DATE, IP, SSN, PHONE, IBAN, CARD))
 
 
-def _round(key: str, kind: str, number: Column, value: Column) -> Column:
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), number.cast("string"), value.cast("string")), 256)
+def _round(key: str, kind: str | Column, number: Column, value: Column) -> Column:
+    kind = kind if isinstance(kind, Column) else F.lit(kind)
+    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, number.cast("string"), value.cast("string")), 256)
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
-def feistel(left: Column, right: Column, sizes: tuple[int, int], key: str, kind: str) -> Column:
+def feistel(left: Column, right: Column, sizes: tuple, key: str, kind: str | Column) -> Column:
     """struct(l, r): the image of (left, right) under a keyed permutation of range(sizes[0]) x range(sizes[1])."""
-    a, b = (F.lit(n).cast("bigint") for n in sizes)
+    a, b = (n if isinstance(n, Column) else F.lit(n).cast("bigint") for n in sizes)
     start = F.struct(left.cast("bigint").alias("l"), right.cast("bigint").alias("r"))
 
     def step(now: Column, i: Column) -> Column:
@@ -93,17 +94,16 @@ def _refill(shape: Column, digits: Column, start: int = 1) -> Column:
 def permute_digits(digits: Column, key: str, kind: str, most: int = 18) -> Column:
     """Digits of one length permuted among themselves: the last `most` of them at most, the rest stays in front."""
 
-    def one(n: int) -> Column:
-        half = n // 2
-        tail = F.expr("1") if n == 0 else F.substring(digits, -n, n)
-        out = feistel(_long(F.substring(tail, 1, n - half)), _long(F.substring(tail, n - half + 1, half)) if half else F.lit(0), (10 ** (n - half), 10**half), key, f"{kind}{n}")
-        return _bind(out, lambda x: F.concat(_pad(x["l"], n - half), _pad(x["r"], half) if half else F.lit("")))
-
-    size = F.length(digits)
-    chain = F.when(size >= most, F.concat(F.substring(digits, F.lit(1), size - most), one(most)))
-    for n in range(1, most):
-        chain = chain.when(size == n, one(n))
-    return chain.otherwise(digits)
+    def build(d: Column) -> Column:
+        size = F.length(d)
+        n = F.least(size, F.lit(most))
+        half = F.floor(n / 2).cast("int")
+        left, right = F.substring(d, size - n + 1, n - half), F.substring(d, size - half + 1, half)
+        ten = F.lit(10.0)
+        out = feistel(_long(left), _long(right), (F.pow(ten, n - half).cast("bigint"), F.pow(ten, half).cast("bigint")), key, F.concat(F.lit(kind), n.cast("string")))
+        return _bind(out, lambda x: F.concat(F.substring(d, F.lit(1), size - n), _pad(x["l"], n - half), F.when(half > 0, _pad(x["r"], half)).otherwise("")))
+
+    return _bind(digits, build)
 
 
 def luhn_sum(digits: Column) -> Column:
