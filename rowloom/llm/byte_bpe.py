@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import small_batches
+
 MAX_STATES = 120_000
 MAX_WORDS = 100_000
 _ALONE = ((0, ()),)  # the live ends of a state that waits for nothing
@@ -292,6 +294,7 @@ def _with(batch: pa.RecordBatch, keep: list[str], name: str, column: pa.Array) -
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df without its text and with an array<int> column of ids; path is that of the rank file on every executor."""
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c not in (text, ids)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,6 +312,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", piece: int = 4096) -> DataFrame:
     """df with the text of its ids added, decoded `piece` ids at a time. Null ids give an empty text."""
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

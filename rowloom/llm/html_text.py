@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import scratch
+from ._shared import scratch, small_batches
 from .url_filter import split_url
 
 BROADCAST_ROWS = 20_000  # winning paths (at most 500 bytes each) up to which the join is a broadcast one
@@ -230,6 +230,7 @@ def extract(html: str | None, path: str | None) -> str:
 
 def _mapped(df: DataFrame, made, name: str, kind: T.DataType) -> DataFrame:
     """df with its last column replaced by made(*all values of html and of columns after it)."""
+    small_batches(df.sparkSession)
     keep = [f for f in df.schema if f.name not in ("_html", "_path")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

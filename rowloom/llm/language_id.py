@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import small_batches
+
 SAMPLE_DOCS = 200  # labelled rows per language that may be learned from
 SAMPLE_ROW_CHARS = 4_000  # of each of them
 SAMPLE_SYMBOLS = 20_000  # symbols per language that go into its automaton
@@ -173,6 +175,7 @@ def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
 
 def identify(df: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "text") -> DataFrame:
     """df with lang_pred and score (the share by which the runner-up needs more bits) added."""
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c not in ("lang_pred", "score")]
     at_text = keep.index(text)
 

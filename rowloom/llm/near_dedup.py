@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import scratch
+from ._shared import scratch, small_batches
 from ._words import Words, mix, run_hashes
 
 SHINGLE = 5
@@ -147,6 +147,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (the smallest id reachable) and kept."""
+    small_batches(docs.sparkSession)
     signed = scratch(signatures(docs, size, id_col, text_col), "near-signatures")
     usable = signed.filter("id is not null and cls is not null")
     classes = usable.groupBy("cls").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import scratch
+from ._shared import scratch, small_batches
 
 CAPACITY = 1024
 END_ID = 2
@@ -173,6 +173,7 @@ def _tokenizer(path: str, pattern: str):
 def tokenize_pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most `capacity` ids of each document, end id included: doc_id, piece, start, length and
     ids (little-endian unsigned 32-bit). Only the first piece of a document may be shorter than the others."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _tokenizer(path, pattern)

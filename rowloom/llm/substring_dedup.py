@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import scratch, shuffle_width
+from ._shared import scratch, shuffle_width, small_batches
 from ._words import BASE, Words, run_hashes
 
 WINDOW = 50
@@ -154,6 +154,7 @@ def _masks(rows: pd.DataFrame, stage: int) -> dict[tuple[int, int], bytes]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per row of docs: id_col, n_words, n_removed and kept (the words that stay, joined by one space)."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     slices = shuffle_width(spark)
 
