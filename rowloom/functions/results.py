@@ -90,6 +90,9 @@ class ResultRow:
             raise AttributeError(name)
         return self._values.get(name)
 
+    def keys(self) -> list[str]:
+        return list(self._values)
+
     def __contains__(self, name: str) -> bool:
         return self._values.get(name) is not None
 

@@ -23,7 +23,8 @@ def read(spark: SparkSession, path: str, separator: str = ",", multi_line: bool
     schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField(BAD, T.StringType())])
     raw = (
         spark.read.schema(schema).option("header", True).option("sep", separator).option("quote", '"').option("escape", '"')
-        .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).option("enforceSchema", True).csv(path)
+        .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).option("enforceSchema", True)
+        .option("columnPruning", False).csv(path)  # with pruning Spark overlooks rows of a wrong length
     )
     if long_rows == "drop":  # a broken row whose last column is filled has too many fields
         raw = raw.filter(F.col(BAD).isNull() | F.col(f"`{names[-1]}`").isNull() | ~_has_more(F.col(BAD), separator, len(names)))
@@ -48,4 +49,4 @@ def with_row_numbers(df: DataFrame, name: str = ROW_ID, start: int = 1) -> DataF
 
 def write(df: DataFrame, path: str, separator: str = ",") -> None:
     """A folder of delimited files, each with a header, appended to if it exists."""
-    df.write.mode("append").option("header", True).option("sep", separator).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    df.write.mode("append").option("header", True).option("sep", separator).option("quote", '"').option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
