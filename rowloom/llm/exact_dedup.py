@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ascii_lower, scratch, shuffle_width
+from ._shared import ascii_lower, fresh, scratch, shuffle_width
 
 SLICE_BITS_MAX = 12
 SALTS = 16  # tasks over which the copies of one text are dealt for verification
@@ -191,9 +191,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without exact copies, columns unchanged. Rows that share id and text stay once."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(f"`{id_col}`").alias("_id"), F.col("text_sha256").alias("_kept"))
-    tagged = docs.withColumn("_sha", F.sha2(normalise(F.col(f"`{text_col}`")), 256))
-    once = tagged.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept")), "left_semi")
-    if not tagged.groupBy(f"`{id_col}`", "_sha").count().filter("count > 1").isEmpty():
-        once = once.dropDuplicates([id_col, "_sha"])
-    return once.drop("_sha")
+    sha, own, same = (fresh(docs, n) for n in ("_sha", "_id", "_kept"))
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(f"`{id_col}`").alias(own), F.col("text_sha256").alias(same))
+    tagged = docs.withColumn(sha, F.sha2(normalise(F.col(f"`{text_col}`")), 256))
+    once = tagged.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.col(sha) == F.col(same)), "left_semi")
+    if not tagged.groupBy(f"`{id_col}`", sha).count().filter("count > 1").isEmpty():
+        once = once.dropDuplicates([id_col, sha])
+    return once.drop(sha)

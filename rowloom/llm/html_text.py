@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import scratch, small_batches
+from ._shared import fresh, scratch, small_batches
 from .url_filter import split_url
 
 BROADCAST_ROWS = 20_000  # winning paths (at most 500 bytes each) up to which the join is a broadcast one
@@ -228,10 +228,10 @@ def extract(html: str | None, path: str | None) -> str:
     return "\n\n".join(text for text, home in blocks if homes[id(home)])
 
 
-def _mapped(df: DataFrame, made, name: str, kind: T.DataType) -> DataFrame:
-    """df with its last column replaced by made(*all values of html and of columns after it)."""
+def _mapped(df: DataFrame, inputs: int, made, name: str, kind: T.DataType) -> DataFrame:
+    """df with its last `inputs` columns replaced by made(*their values)."""
     small_batches(df.sparkSession)
-    keep = [f for f in df.schema if f.name not in ("_html", "_path")]
+    keep = df.schema.fields[: len(df.columns) - inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,18 +247,19 @@ def _mapped(df: DataFrame, made, name: str, kind: T.DataType) -> DataFrame:
 
 def extract_text(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """pages without their html, with the column text added."""
-    keep = [c for c in pages.columns if c not in (html, "text")]
-    host: Column = split_url(F.col(f"`{url}`"))[0]
+    keep = [f"`{c}`" for c in pages.columns if c not in (html, "text")]
+    host, path, source = (fresh(pages, n) for n in ("_host", "_path", "_html"))
+    of_url: Column = split_url(F.col(f"`{url}`"))[0]
+    rows = pages.select(*keep, of_url.alias(host), F.col(f"`{html}`").cast("string").alias(source))
     kind = T.StructType([T.StructField("path", T.StringType()), T.StructField("chars", T.LongType())])
-    voted = _mapped(pages.select(host.alias("_host"), F.col(f"`{html}`").alias("_html")), _as_dict, "vote", kind)
-    votes = voted.filter("vote is not null").groupBy("_host", "vote.path").agg(F.count("*").alias("pages"), F.sum("vote.chars").alias("chars"))
-    place = F.row_number().over(Window.partitionBy("_host").orderBy(F.desc("pages"), F.desc("chars"), "path"))
-    winners = scratch(votes.withColumn("place", place).filter("place = 1").select("_host", F.col("path").alias("_path")), "html-paths")
+    voted = _mapped(rows.select(host, source), 1, _as_dict, "vote", kind).filter("vote is not null")
+    votes = voted.groupBy(host, F.col("vote.path").alias(path)).agg(F.count("*").alias("pages"), F.sum("vote.chars").alias("chars"))
+    place = F.row_number().over(Window.partitionBy(host).orderBy(F.desc("pages"), F.desc("chars"), path))
+    winners = scratch(votes.withColumn("place", place).filter("place = 1").select(host, path), "html-paths")
     if winners.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         winners = F.broadcast(winners)
-    rows = pages.select(*[f"`{c}`" for c in keep], host.alias("_host"), F.col(f"`{html}`").alias("_html"))
-    joined = rows.join(winners, "_host", "left").select(*[f"`{c}`" for c in keep], "_html", "_path")
-    return _mapped(joined, extract, "text", T.StringType())
+    joined = rows.join(winners, host, "left").select(*keep, source, path)
+    return _mapped(joined, 2, extract, "text", T.StringType())
 
 
 def _as_dict(html: str | None) -> dict | None:

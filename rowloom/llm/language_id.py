@@ -97,7 +97,8 @@ class Model:
             self.roots.append(at)
             self.bits.append(np.log2(max(2, len(samples[lang]))))
             at += len(own)
-        flat = np.concatenate(tables)
+        flat = np.concatenate([*tables, np.full((1, self.width), -1, np.int32)])
+        self.lost = at * self.width  # after a symbol that a sample doesn't have: the next one starts a phrase
         flat[flat >= 0] *= self.width  # states as offsets into the flat table
         self.table = flat.ravel()
         self.roots = np.array(self.roots, np.int32) * self.width
@@ -126,8 +127,8 @@ class Model:
             stuck = now < 0
             if step:
                 found[:, :n] += stuck
-            again = np.where(stuck, np.maximum(table[roots + symbols], -1), now)
-            state[:, :n] = np.where(again < 0, roots, again)
+            again = np.where(stuck, table[roots + symbols], now)
+            state[:, :n] = np.where(again < 0, self.lost, again)
         for k in range(langs):
             counts[:, k] = np.bincount(owner, found[k], len(folded))
         return counts

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import scratch, small_batches
+from ._shared import fresh, scratch, small_batches
 from ._words import Words, mix, run_hashes
 
 SHINGLE = 5
@@ -280,5 +280,6 @@ def _open_links(rest: DataFrame, threshold: int) -> DataFrame:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """docs without all but the smallest id of each component, columns unchanged. Rows without an id stay."""
-    gone = near_groups(docs, id_col, text_col, size, threshold).filter("not kept").select(F.col(f"`{id_col}`").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    name = fresh(docs, "_gone")
+    gone = near_groups(docs, id_col, text_col, size, threshold).filter("not kept").select(F.col(f"`{id_col}`").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import fresh
+
 ROUNDS = 10
 KINDS = ("email", "card", "iban", "phone", "ip", "ssn", "date")
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 319, 229  # 319 * 229 days: 1900-01-01 to 2099-12-31, less none
@@ -307,11 +309,11 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", found: str | None
         F.transform(F.regexp_extract_all(column, F.lit(ANY), 0), lambda m: F.struct(m.alias("match"), classify(m).alias("kind"))),
         lambda x: F.struct(x["kind"].alias("kind"), pseudonym(x["match"], x["kind"], key).alias("new")),
     )
-    worth = column.rlike("[0-9@]")
-    out = df.withColumn("_swaps", F.when(worth, swaps))
+    worth, held = column.rlike("[0-9@]"), fresh(df, "_swaps")
+    out = df.withColumn(held, F.when(worth, swaps))
     gaps = F.split(column, ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(gaps, F.col("_swaps"), lambda g, s: F.array(g, F.coalesce(s["new"], F.lit(""))))), "")
-    out = out.withColumn(text, F.when(F.size("_swaps") > 0, joined).otherwise(column))
+    joined = F.array_join(F.flatten(F.zip_with(gaps, F.col(held), lambda g, s: F.array(g, F.coalesce(s["new"], F.lit(""))))), "")
+    out = out.withColumn(text, F.when(F.size(held) > 0, joined).otherwise(column))
     if found:
-        out = out.withColumn(found, F.coalesce(F.filter("_swaps", lambda s: s["kind"].isNotNull()), F.array().cast("array<struct<kind:string,new:string>>")))
-    return out.drop("_swaps")
+        out = out.withColumn(found, F.coalesce(F.filter(held, lambda s: s["kind"].isNotNull()), F.array().cast("array<struct<kind:string,new:string>>")))
+    return out.drop(held)

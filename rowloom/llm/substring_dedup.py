@@ -41,9 +41,9 @@ NO_ID = np.iinfo(np.int64).max
 class Block:
     """Documents of a block with the hashes of their windows."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes | None], window: int):
+    def __init__(self, ids: np.ndarray, texts: list[bytes | None], window: int, cell_bits: int = CELL_BITS):
         """ids: NO_ID stands for null."""
-        self.ids, self.window = ids, window
+        self.ids, self.window, self.cell_bits = ids, window, cell_bits
         self.words = Words(texts)
         hashes = self.words.hashes()
         at = self.words.runs(window)
@@ -54,10 +54,10 @@ class Block:
         self.h2 = (run_hashes(hashes, at, window, BASE) >> np.uint64(32)).astype(np.uint32)
 
     def cells(self, row: int, slices: int) -> np.ndarray:
-        """slice << CELL_BITS | cell of each window in a row of the sketch."""
+        """slice << cell_bits | cell of each window in a row of the sketch."""
         part = (self.h1 >> np.uint64(1)) % np.uint64(slices)
-        cell = (self.h1 * np.uint64(2 * row + 1) + self.h2 * np.uint64(row * 0x9E37)) >> np.uint64(64 - CELL_BITS)
-        return (part << np.uint64(CELL_BITS)) | cell
+        cell = (self.h1 * np.uint64(2 * row + 1) + self.h2 * np.uint64(row * 0x9E37)) >> np.uint64(64 - self.cell_bits)
+        return (part << np.uint64(self.cell_bits)) | cell
 
     def sketch(self, row: int, slices: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted cells and their counts, which stop at two."""
@@ -70,7 +70,7 @@ class Block:
         for row in range(DEPTH):
             cells = self.cells(row, slices)
             known, where = np.unique(cells, return_inverse=True)
-            hot = _unmask(known >> np.uint64(CELL_BITS), masks, row)
+            hot = _unmask(known >> np.uint64(self.cell_bits), masks, row)
             out &= hot[where]
         return out
 
@@ -129,7 +129,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, list[bytes | None]]:
     return ids, texts
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes | None]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, list[bytes | None]]]:
     ids: list[int] = []
     texts: list[bytes | None] = []
     size = 0
@@ -140,7 +140,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, lis
                 ids.append(NO_ID if key is None else key)
                 texts.append(text)
                 size += len(text or b"")
-                if size >= BLOCK_BYTES:
+                if size >= most:
                     yield np.array(ids, np.int64), texts
                     ids, texts, size = [], [], 0
     if ids:
@@ -152,7 +152,7 @@ def _masks(rows: pd.DataFrame, stage: int) -> dict[tuple[int, int], bytes]:
     return {(int(r), int(s)): b for r, s, b in zip(own["row"], own["slice"], own["bits"])}
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cell_bits: int = CELL_BITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: id_col, n_words, n_removed and kept (the words that stay, joined by one space)."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -162,15 +162,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 32
-        for seq, (ids, texts) in enumerate(_blocks(batches)):
+        for seq, (ids, texts) in enumerate(_blocks(batches, block_bytes)):
             rows = [(0, base + seq, 0, 0, _pack(ids, texts))]
-            block = Block(ids, texts, window)
+            block = Block(ids, texts, window, cell_bits)
             for row in range(DEPTH):
                 cells, counts = block.sketch(row, slices)
-                part = cells >> np.uint64(CELL_BITS)
+                part = cells >> np.uint64(cell_bits)
                 starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]).tolist()
                 for a, b in zip(starts, [*starts[1:], len(part)]):
-                    low = cells[a:b] & np.uint64((1 << CELL_BITS) - 1)
+                    low = cells[a:b] & np.uint64((1 << cell_bits) - 1)
                     data = np.packbits(counts[a:b] > 1).tobytes() + _planes(_gaps(low), 3)
                     rows.append((1, base + seq, row, int(part[a]), (b - a).to_bytes(4, "little") + data))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), arrow)], ["kind", "block", "row", "slice", "data"])
@@ -191,7 +191,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             flags = 4 + (n + 7) // 8
             many.append(np.unpackbits(np.frombuffer(data[4:flags], np.uint8), count=n))
             lists.append(np.cumsum(_unplanes(data[flags:], 3)).astype(np.int64))
-        sketch = np.zeros(1 << CELL_BITS, np.uint8)  # counts stop at two
+        sketch = np.zeros(1 << cell_bits, np.uint8)  # counts stop at two
         for cells, flags in zip(lists, many):
             sketch[cells] = np.minimum(2, sketch[cells] + 1 + flags)
         bits = [np.packbits(sketch[cells] > 1).tobytes() for cells in lists]
@@ -205,7 +205,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def repeated(text: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
         out = {"block": [], "slice": [], "data": []}
         for number, data in zip(text["block"], text["data"]):
-            block = Block(*_unpack(data), window)
+            block = Block(*_unpack(data), window, cell_bits)
             part, h1, h2, doc, _ = block.entries(block.estimated_repeated(_masks(masks, 0), slices), slices)
             starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]).tolist()
             for a, b in zip(starts, [*starts[1:], len(part)]):
@@ -239,7 +239,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def finish(text: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
         out = {id_col: [], "n_words": [], "n_removed": [], "kept": []}
         for data in text["data"]:
-            block = Block(*_unpack(data), window)
+            block = Block(*_unpack(data), window, cell_bits)
             wanted = block.estimated_repeated(_masks(masks, 0), slices)
             part, _, _, least, number = block.entries(wanted, slices)
             elsewhere = _unmask(part, _masks(masks, 1), 0)
