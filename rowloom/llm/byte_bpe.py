@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 
 from ._shared import small_batches
 
-MAX_STATES = 120_000
+MAX_STATES = 150_000
 MAX_WORDS = 100_000
+KEY, FINAL = "key", "final"
 _ALONE = ((0, ()),)  # the live ends of a state that waits for nothing
 
 
@@ -62,11 +63,9 @@ class Transducer:
                 self.merge[rank] = halves
                 self.joined[halves] = rank
         self.follows: dict[int, bool] = {}
-        self.ids: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.final: list[tuple[int, ...]] = []
-        self.step: dict[int, int | tuple[int, tuple[int, ...]]] = {}  # by state << 8 | byte; a bare state emits nothing
-        self._state((b"", -1, _ALONE))
+        # a state is a dict: by byte the next state, or it and the tokens emitted; under FINAL the tokens still due, under KEY its key
+        self.states: dict[tuple, dict] = {}
+        self.start = self._state((b"", -1, _ALONE))
 
     def _halves(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one: what merges of lower rank leave of its bytes."""
@@ -78,16 +77,14 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return tuple(ranks[p] for p in parts) if all(p in ranks for p in parts) else None
 
-    def _state(self, key: tuple) -> int | tuple:
+    def _state(self, key: tuple) -> dict:
         """key: the bytes since the first live end, the token before the common ancestor, and (bytes back, tokens) of each live end.
-        Its number, or the key itself if there is no room for one more."""
-        if (i := self.ids.get(key)) is None:
-            if (i := len(self.states)) >= self.max_states:
-                return key
-            self.ids[key] = i
-            self.states.append(key)
-            self.final.append(key[2][-1][1])
-        return i
+        If there is no room for one more state, it is made but not kept."""
+        if (state := self.states.get(key)) is None:
+            state = {KEY: key, FINAL: key[2][-1][1]}
+            if len(self.states) < self.max_states:
+                self.states[key] = state
+        return state
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether BPE leaves token a directly before token b: undo the merges on both sides of the border, latest
@@ -111,9 +108,8 @@ class Transducer:
             self.follows[key] = fits
         return fits
 
-    def _advance(self, state: int | tuple, byte: int) -> tuple[int | tuple, tuple[int, ...]]:
-        known = type(state) is int
-        tail, lead, ends = self.states[state] if known else state
+    def _advance(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
+        tail, lead, ends = state[KEY]
         tail += bytes((byte,))
         size, new = len(tail), None
         for back, tokens in ends:
@@ -144,23 +140,26 @@ class Transducer:
                 lead = -2
             key = (tail[size - live[0][0] :], lead, tuple([(back, t[n:]) for back, t in live]) if n else tuple(live))
         to = self._state(key)
-        if known and type(to) is int:
-            self.step[state << 8 | byte] = (to, out) if out else to
+        if key in self.states:
+            state[byte] = (to, out) if out else to
         return to, out
 
     def encode(self, word: bytes) -> list[int]:
         if (whole := self.ranks.get(word)) is not None:
             return [whole]
         out: list[int] = []
-        state, step = 0, self.step
+        state = self.start
         for byte in word:
-            hop = step.get(state << 8 | byte) if type(state) is int else None
-            if type(hop) is int:
+            try:
+                hop = state[byte]
+            except KeyError:
+                hop = self._advance(state, byte)
+            if type(hop) is dict:
                 state = hop
-                continue
-            state, emitted = hop or self._advance(state, byte)
-            out += emitted
-        out += self.final[state] if type(state) is int else state[2][-1][1]
+            else:
+                state, emitted = hop
+                out += emitted
+        out += state[FINAL]
         return out
 
 
@@ -255,12 +254,12 @@ class Decoder:
                 self.whole[i] = text
 
     def push(self, held: bytes, ids: Iterable[int]) -> tuple[str, bytes]:
-        ids = list(ids)
+        ids = ids if isinstance(ids, list) else list(ids)
         whole = self.whole
         if not held:
             try:
-                return "".join([whole[i] for i in ids]), b""  # type: ignore[misc]
-            except TypeError:
+                return "".join(map(whole.__getitem__, ids)), b""
+            except TypeError:  # a token that is no whole characters
                 pass
         out, hops = [], self.hops
         for i in ids:
@@ -302,7 +301,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         for batch in batches:
             for at in range(0, batch.num_rows, 64):  # few whole texts at a time
                 part = batch.slice(at, 64)
-                raw = [own.encode_raw(t.as_py() or "") for t in part.column(part.num_columns - 1)]
+                raw = [own.encode_raw(t or "") for t in part.column(part.num_columns - 1).to_pylist()]
                 ends = np.cumsum([0, *(len(r) // 4 for r in raw)]).astype(np.int32)
                 yield _with(part, keep, ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))))
 
@@ -310,7 +309,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     return df.select(*[f"`{c}`" for c in [*keep, text]]).mapInArrow(run, T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", piece: int = 4096) -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", piece: int = 1 << 16) -> DataFrame:
     """df with the text of its ids added, decoded `piece` ids at a time. Null ids give an empty text."""
     small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != text]
