@@ -115,7 +115,7 @@ def _gaps(sorted_values: np.ndarray) -> np.ndarray:
 def _pack(ids: np.ndarray, texts: list[bytes | None]) -> bytes:
     lengths = np.array([-1 if t is None else len(t) for t in texts], "<i8")
     body = np.array([len(texts)], "<i8").tobytes() + ids.astype("<i8").tobytes() + lengths.tobytes() + b"".join(t or b"" for t in texts)
-    return zstandard.ZstdCompressor(level=3).compress(body)
+    return zstandard.ZstdCompressor(level=6).compress(body)
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, list[bytes | None]]:
@@ -213,16 +213,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ids = _planes((doc[a:b] - low).view(np.uint64), 8)
                 out["block"].append(number)
                 out["slice"].append(int(part[a]))
-                out["data"].append((b - a).to_bytes(4, "little") + low.to_bytes(8, "little", signed=True) + h1[a:b].tobytes() + h2[a:b].tobytes() + ids)
+                first = _planes(_gaps(h1[a:b]), 8)
+                out["data"].append(np.array([b - a, low, len(first)], "<i8").tobytes() + first + h2[a:b].tobytes() + ids)
         return pd.DataFrame(out)
 
     def exact(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for data in rows["data"]:
-            n = int.from_bytes(data[:4], "little")
-            low = int.from_bytes(data[4:12], "little", signed=True)
-            ids = _unplanes(data[12 + 12 * n :], 8).view(np.int64) + low
-            parts.append((np.frombuffer(data, "<u8", n, 12), np.frombuffer(data, "<u4", n, 12 + 8 * n), ids))
+            n, low, size = np.frombuffer(data, "<i8", 3).tolist()
+            at = 24 + size
+            ids = _unplanes(data[at + 4 * n :], 8).view(np.int64) + low
+            parts.append((np.cumsum(_unplanes(data[24:at], 8), dtype=np.uint64), np.frombuffer(data, "<u4", n, at), ids))
         h1, h2, doc = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order = np.lexsort((h2, h1))
         new = np.append(True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]))[: len(order)]
