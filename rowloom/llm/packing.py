@@ -32,7 +32,14 @@ END_ID = 2
 
 
 def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths that share a sequence, number of such sequences), using each length exactly as often as counts say."""
+    """(lengths that share a sequence, number of such sequences), using each length exactly as often as counts say.
+    Triples and quadruples use up small lengths that best fit may need more, so the plan that indexes single sums only, the one
+    with pair sums and the one with triple sums are made, and the one with fewest sequences is taken."""
+    return min((_plan(counts, capacity, most) for most in (4, 3, 2)), key=lambda plan: sum(n for _, n in plan))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """most: pieces in a combination that fills a sequence exactly."""
     have = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         have[length] = n
@@ -46,9 +53,9 @@ def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int
                 have[x] -= n * k
             made.append((pattern, n))
 
-    def pairs(total: int, most: int) -> list[int]:
+    def pairs(total: int, largest: int) -> list[int]:
         """The larger halves x of available pairs (x, total - x), largest first."""
-        low, high = (total + 1) // 2, min(most, total - 1)
+        low, high = (total + 1) // 2, min(largest, total - 1)
         if high < low:
             return []
         x = np.arange(high, low - 1, -1)
@@ -56,7 +63,7 @@ def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int
         return x[ok].tolist()
 
     consume((capacity,))
-    for size in (2, 3, 4):
+    for size in range(2, most + 1):
         for a in range(capacity - 1, 0, -1):
             gap = capacity - a
             if not have[a] or a * size < capacity:
