@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._shared import ascii_lower, fresh, scratch, shuffle_width
 
 SLICE_BITS_MAX = 12
-SALTS = 16  # tasks over which the copies of one text are dealt for verification
+SALTS = 16  # tasks over which the copies of one text are dealt
 
 
 class QuotientFilter:
@@ -180,7 +180,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = groups.join(verified, ["fp", "sha"]).withColumn(
         "size", F.when(F.col("texts") == 1, F.col("size")).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("bigint"))
     )
-    return thin.join(classes.select("fp", "sha", "keep", "size"), ["fp", "sha"], "left").select(
+    spread = classes.select("fp", "sha", "keep", "size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = thin.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    return dealt.join(spread, ["fp", "sha", "salt"], "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep.id")).alias("keep_id"),
         F.coalesce("size", F.lit(1).cast("bigint")).alias("group_size"),
