@@ -4,7 +4,7 @@ A document's set is its distinct shingles of `size` lower-cased words. Equal set
 MinHash samples are cut into BANDS keys and folded into an odd sketch, a bitmap in which each sample flips one bit; the XOR
 of two sketches has about n/2 * (1 - exp(-4k(1 - J)/n)) bits set, which tells high similarities J apart. Classes with a
 common band key are candidates; what the sketches put surely below the threshold is dropped, the rest is confirmed on
-the full sets. A pair at the threshold 0.8 meets in a band but for 1.2e-7, and passes the sketches but for about 1e-5.
+the full sets. A pair at the threshold 0.8 meets in a band but for 1.2e-7, and passes the sketches but for about 1e-6 (by a normal approximation).
 
 Candidates are taken so that no group of copies becomes all its pairs: first each class with one hub, then with a hub of each
 of its buckets that it isn't connected to yet, and at last all pairs of a bucket that are still unconnected, compared in
