@@ -155,7 +155,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = classes.select("rep", "n", F.explode("bands").alias("key"))
     draw = F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("rep"))
     shared = member.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("weight"), F.min("rep").alias("hub"), F.min(draw).alias("draw")).filter("m > 1")
-    active = scratch(member.drop("n").join(shared.select("key", "m", "weight", "hub", F.col("draw.rep").alias("drawn")), "key"), "near-active")
+    # What is joined to rows of a hot key is written first: AQE splits skewed partitions only of joins between plain shuffles.
+    shared = scratch(shared.select("key", "m", "weight", "hub", F.col("draw.rep").alias("drawn")), "near-shared")
+    active = scratch(member.drop("n").join(shared, "key"), "near-active")
     reps = scratch(
         classes.join(active.select("rep").distinct(), "rep").select("rep", "first", "cls", "odd", "bands"), "near-reps"
     )  # the classes that share a bucket at all
@@ -170,14 +172,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comp = _connect(comp, _links(second, reps, sets, threshold))
 
     open_keys = active.join(comp, "rep").groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c <> d").select("key")
-    rest = active.filter("m > 2").join(open_keys, "key", "left_semi").select("key", "m", "weight", "rep")
+    rest = active.filter("m > 2").join(scratch(open_keys, "near-open"), "key", "left_semi").select("key", "m", "weight", "rep")
     rest = rest.join(comp, "rep").join(reps.select("rep", "odd", "bands"), "rep").join(sets, "rep")
     comp = _connect(comp, _open_links(rest, threshold))
 
     named = comp.join(reps.select("rep", "first", "cls"), "rep")
-    smallest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
+    smallest = scratch(named.groupBy("comp").agg(F.min("first").alias("component_id")), "near-smallest")
     by_class = classes.select("cls", "first").join(named.join(smallest, "comp").select("cls", "component_id"), "cls", "left")
-    by_class = by_class.select("cls", F.coalesce("component_id", "first").alias("found"))
+    by_class = scratch(by_class.select("cls", F.coalesce("component_id", "first").alias("found")), "near-found")
     found = F.when(F.col("id").isNotNull(), F.coalesce("found", "id"))
     return signed.select("id", "n", "cls").join(by_class, "cls", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("id") == found, F.lit(True)).alias("kept")
