@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import scratch, small_batches
+from ._shared import fresh, scratch, shuffle_width, small_batches
 
 CAPACITY = 1024
 END_ID = 2
@@ -123,33 +123,38 @@ def plan_rows(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return rows
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), buckets: int = 64) -> DataFrame:
-    """pieces with sequence_id and offset added. Lengths must be from 1 to capacity.
+def place(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), buckets: int | None = None) -> DataFrame:
+    """pieces with sequence_id and offset added (or replaced). Lengths must be from 1 to capacity.
 
-    The plan is broadcast: it has at most a few rows for each length and pattern, whatever the input.
+    A piece of full length is a sequence of its own, with a negative number, and is neither ranked nor shuffled. What is
+    broadcast is bounded whatever the input: the plan has a few rows for each length and pattern, and the counts
+    have `capacity` times `buckets` rows at most (buckets follow the shuffle partitions, from 64 to 256).
     """
     spark = pieces.sparkSession
-    tagged = scratch(pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")), "pack-pieces")
-    per_bucket = scratch(tagged.groupBy(F.col(length).alias("_length"), "_bucket").agg(F.count("*").alias("_n")), "pack-counts")
-    counts = {r[0]: r[1] for r in per_bucket.groupBy("_length").agg(F.sum("_n")).collect()}  # at most `capacity` rows
+    buckets = buckets or min(256, max(64, shuffle_width(spark)))
+    bucket, serial, rank, n, before, at = (fresh(pieces, x) for x in ("_bucket", "_serial", "_rank", "_n", "_before", "_at"))
+    len_, own, from_, to, base, offset = (fresh(pieces, x) for x in ("_len", "_own", "_from", "_to", "_base", "_offset"))
+    size = F.col(f"`{length}`")
+    hashed = F.pmod(F.xxhash64(*[f"`{c}`" for c in order]), F.lit(buckets)).cast("int")
+    tagged = scratch(pieces.withColumns({bucket: hashed, serial: F.monotonically_increasing_id()}), "pack-pieces")
+    per_bucket = scratch(tagged.groupBy(size.alias(len_), F.col(bucket).alias(own)).agg(F.count("*").alias(n)), "pack-counts")
+    counts = {r[0]: r[1] for r in per_bucket.groupBy(len_).agg(F.sum(n)).collect()}  # at most `capacity` rows
     if bad := [x for x in counts if x is None or not 1 <= x <= capacity]:
         raise ValueError(f"lengths must be from 1 to {capacity}: {bad[:5]}")
-    plan = spark.createDataFrame(plan_rows(counts, capacity), "_len int, _from long, _to long, _base long, _offset int")
-    before = per_bucket.withColumn("_before", F.sum("_n").over(Window.partitionBy("_length").orderBy("_bucket")) - F.col("_n"))
-    rank = F.row_number().over(Window.partitionBy(length, "_bucket").orderBy(*order)) - 1
-    ranked = tagged.withColumn("_rank", rank.cast("long")).join(
-        F.broadcast(before.drop("_n").withColumnRenamed("_bucket", "_b")),  # at most capacity x buckets rows
-        (F.col(length) == F.col("_length")) & (F.col("_bucket") == F.col("_b")),
-    )
-    at = F.col("_rank") + F.col("_before")
-    placed = ranked.withColumn("_at", at).join(
-        F.broadcast(plan), (F.col(length) == F.col("_len")) & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))
-    )
-    return placed.select(
-        *[f"`{c}`" for c in pieces.columns],
-        (F.col("_base") + F.col("_at") - F.col("_from")).alias("sequence_id"),
-        F.col("_offset").cast("long").alias("offset"),
+    counts.pop(capacity, None)
+    keep = [F.col(f"`{c}`") for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    full = tagged.filter(size == capacity).select(*keep, (-1 - F.col(serial)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+
+    earlier = F.sum(n).over(Window.partitionBy(len_).orderBy(own)) - F.col(n)
+    starts = per_bucket.filter(F.col(len_) < capacity).select(len_, own, earlier.alias(before))
+    ranks = F.row_number().over(Window.partitionBy(size, bucket).orderBy(*[f"`{c}`" for c in order])) - 1
+    ranked = tagged.filter(size < capacity).withColumn(rank, ranks.cast("long"))
+    ranked = ranked.join(F.broadcast(starts), (size == F.col(len_)) & (F.col(bucket) == F.col(own))).drop(len_)
+    plan = spark.createDataFrame(plan_rows(counts, capacity), f"{len_} int, {from_} long, {to} long, {base} long, {offset} long")
+    placed = ranked.withColumn(at, F.col(rank) + F.col(before)).join(
+        F.broadcast(plan), (size == F.col(len_)) & (F.col(at) >= F.col(from_)) & (F.col(at) < F.col(to))
     )
+    return placed.select(*keep, (F.col(base) + F.col(at) - F.col(from_)).alias("sequence_id"), F.col(offset).alias("offset")).unionByName(full)
 
 
 # --- tokens -------------------------------------------------------------------------------------------------------

@@ -101,6 +101,21 @@ def test_packing(docs, none):
     assert packing.place(packing.tokenize_pieces(none, JSON, public_tokenizers.PATTERN).drop("ids")).count() == 0
 
 
+def test_packing_of_full_pieces_and_clashing_names(spark):
+    rows = [(i, 0, length, "b", "s", "r", -1) for i, length in enumerate([10] * 7 + [10, 10, 3, 7, 6, 4, 5, 5, 9])]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length int, _bucket string, _serial string, _rank string, sequence_id long")
+    out = packing.place(pieces, capacity=10)
+    assert out.columns == ["doc_id", "piece", "length", "_bucket", "_serial", "_rank", "sequence_id", "offset"]
+    spans = {}
+    for r in out.collect():
+        assert (r._bucket, r._serial, r._rank) == ("b", "s", "r")
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(sorted(x) for x in spans.values() if len(x) == 1) == [[(0, 9)]] + [[(0, 10)]] * 9
+    assert sorted(sum(n for _, n in x) for x in spans.values()) == [9] + [10] * 12
+    only = packing.place(pieces.filter("length = 10"), capacity=10).collect()
+    assert len({r.sequence_id for r in only}) == len(only) == 9 and {r.offset for r in only} == {0}
+
+
 def test_language(docs, none):
     samples = language_id.learn(docs)
     out = {r.doc_id: r for r in language_id.identify(clash(docs), samples).collect()}
