@@ -162,7 +162,8 @@ def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
         return ()
     share = F.coalesce(*[F.when(F.col("l") == l, F.lit(min(1.0, sample_docs / n))) for l, n in sorted(sizes.items())])
     draw = (F.xxhash64(F.lit("sample"), "k").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))).alias("draw")
-    found = rows.withColumn("draw", draw).filter(F.col("draw") < share).select("l", "draw", F.substring("t", 1, row_chars).alias("t")).collect()
+    found = rows.withColumn("draw", draw).filter(F.col("draw") < share).select("l", "draw", F.substring("t", 1, row_chars).alias("t"))
+    found = found.orderBy("draw", "l", "t").limit(4 * sample_docs * len(sizes)).collect()  # more come only of rows that share a key
     texts: dict[str, list[np.ndarray]] = {}
     for r in sorted(found, key=lambda r: (r.l, r.draw, r.t)):
         if len(f := fold(r.t)):
