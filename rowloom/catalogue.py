@@ -125,6 +125,10 @@ _rows("group_first_row", "lineitem",
       .order_by("l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"),
       "SELECT l_returnflag, l_linestatus, l_orderkey, l_linenumber FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_returnflag, l_linestatus "
       "ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem) t WHERE rn = 1")
+_rows("group_first_row_desc", "orders",
+      lambda q: q.select("o_orderpriority", "o_orderkey", "o_totalprice").group_by("o_orderpriority").order_by("o_totalprice desc, o_orderkey"),
+      "SELECT o_orderpriority, o_orderkey, o_totalprice FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_orderpriority "
+      "ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn = 1")
 _made("exists_true", "orders", lambda q: q.where("o_orderstatus", "P")._filtered().limit(1).agg((F.count("*") > 0).alias("found")),
       "SELECT COUNT(*) > 0 AS found FROM orders WHERE o_orderstatus = 'P'")
 _made("numeric_or_zero_sum", "events",
@@ -142,6 +146,11 @@ _rows("one_row", "part", lambda q: q.select("p_partkey", "p_name").where([">", "
 _rows("first_column", "region", lambda q: q.select("r_name"), "SELECT r_name FROM region")
 _made("index_by_last_wins", "orders", lambda q: q.select("o_orderstatus", "o_orderkey").order_by("o_orderkey").keyed("o_orderstatus"),
       "SELECT o_orderstatus, MAX(o_orderkey) AS o_orderkey FROM orders GROUP BY o_orderstatus")
+_made("index_by_desc", "orders", lambda q: q.select("o_orderstatus", "o_orderkey").order_by("o_orderkey desc").keyed("o_orderstatus"),
+      "SELECT o_orderstatus, MIN(o_orderkey) AS o_orderkey FROM orders GROUP BY o_orderstatus")
+_made("group_by_two_sums", "lineitem",
+      lambda q: q.group_by("l_returnflag").add_group_by("l_linestatus").aggregate_frame({"s": ("sum", "l_quantity"), "mx": ("max", "l_discount"), "n": ("count", "l_orderkey")}),
+      "SELECT l_returnflag, l_linestatus, SUM(l_quantity) AS s, MAX(l_discount) AS mx, COUNT(l_orderkey) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus")
 
 # --- indexes, virtual columns, updates, appends ---------------------------------------------------------------------
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.results import ResultRow
@@ -147,12 +147,15 @@ class Query:
         return df.select(*[f"`{c}`" for c in names])
 
     def _first_of_groups(self, df: DataFrame, names: list[str]) -> DataFrame:
-        """By an aggregation, so that each task sends one row per group."""
+        """By an aggregation, so that each task sends one row per group; only an order that goes down needs a window, which keeps
+        one row per group and task as well before it shuffles."""
         keep = list(dict.fromkeys([*names, *(c for c, _ in self.order), *([ROW_ID] if ROW_ID in df.columns else [])]))
+        groups, by_id = [F.col(f"`{g}`") for g in self.groups], [F.col(ROW_ID)] if ROW_ID in df.columns else []
         if any(down for _, down in self.order):
-            raise ValueError("the first row of a group needs ascending order")
-        place = F.struct(*[F.col(f"`{c}`") for c, _ in self.order], *([F.col(ROW_ID)] if ROW_ID in df.columns else []))
-        first = df.groupBy(*[F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(self.groups)]).agg(F.min_by(F.struct(*[f"`{c}`" for c in keep]), place).alias("_row"))
+            place = F.row_number().over(Window.partitionBy(*groups).orderBy(*self._sorting(), *by_id))
+            return df.withColumn("_place", place).filter("_place = 1").select(*[f"`{c}`" for c in keep])
+        place = F.struct(*[F.col(f"`{c}`") for c, _ in self.order], *by_id)
+        first = df.groupBy(*[g.alias(f"_g{i}") for i, g in enumerate(groups)]).agg(F.min_by(F.struct(*[f"`{c}`" for c in keep]), place).alias("_row"))
         return first.select("_row.*")
 
     # --- results -------------------------------------------------------------------------------------------------
@@ -172,6 +175,10 @@ class Query:
         """One row per value of a column: the last in the order of the query, or of the rows' identity."""
         df = self._filtered(row_id=not self.order)
         names = list(self.columns) or [c for c in df.columns if c != ROW_ID]
+        if any(down for _, down in self.order):
+            turned = [F.col(f"`{c}`").asc() if down else F.col(f"`{c}`").desc() for c, down in self.order]
+            last = F.row_number().over(Window.partitionBy(f"`{column}`").orderBy(*turned))
+            return df.withColumn("_place", last).filter("_place = 1").select(*[f"`{c}`" for c in names])
         place = F.struct(*[F.col(f"`{c}`") for c, _ in self.order] or [F.col(ROW_ID)])
         return df.groupBy(F.col(f"`{column}`").alias("_key")).agg(F.max_by(F.struct(*[f"`{c}`" for c in names]), place).alias("_row")).select("_row.*")
 

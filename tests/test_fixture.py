@@ -72,6 +72,8 @@ def test_aggregates(table):
     assert q.group_by("STATUS", "CATEGORY").count() == 5
     assert q.aggregate(["STATUS"], {"SCORE": "max", "ID": "count"})["active"] == {"max_SCORE": 95, "count_ID": 5}
     assert sorted(ids(q.group_by("CATEGORY"))) == [1, 2, 4, 6]
+    assert sorted(ids(q.group_by("CATEGORY").order_by("SCORE desc"))) == [1, 5, 6, 8]
+    assert ids(q.select("ID").group_by("STATUS").order_by("SCORE desc, ID").limit(2)) == [1, 6]
 
 
 def test_order_and_results(table):
@@ -84,6 +86,7 @@ def test_order_and_results(table):
     assert q.index_by("CATEGORY").as_array().all()["D"]["CATEGORY"] == "D"
     assert set(q.index_by(lambda r: int(r["ID"]) % 2).as_array().all()) == {0, 1}
     assert sorted(r["ID"] for r in q.select("ID", "CATEGORY").keyed("CATEGORY").collect()) == ["10", "7", "8", "9"]
+    assert sorted(r["ID"] for r in q.order_by("SCORE desc").select("ID", "CATEGORY").keyed("CATEGORY").collect()) == ["10", "2", "4", "7"]
     assert sum(1 for _ in q.each()) == 10 and [len(b) for b in q.batch(4)] == [4, 4, 2]
     assert list(q.where({"ID": 3}).offsets()) == ["3\n"]
 
