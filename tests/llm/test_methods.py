@@ -469,3 +469,25 @@ def test_pipeline(spark, texts):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(after)
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_a_hot_class_is_split_between_tasks(spark):
+    small = {
+        "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    own = F.concat_ws(" ", *[F.substring(F.sha2(F.concat_ws("-", "id", F.lit(i)), 256), 1, 6) for i in range(9)])
+    docs = spark.range(9000, numPartitions=8).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one two three four five six").otherwise(own).alias("text"))
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        out = near_dedup.near_groups(docs)
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(rows) == 9000 and all(r.component_id == (0 if r.doc_id % 3 == 0 else r.doc_id) for r in rows)
+    assert "SortMergeJoin(skew=true)" in plan
