@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ascii_lower
+from ._shared import ascii_lower, scratch
 
 PREFIX_HEX = 8  # 32 bits of the digest travel as the join key
 
@@ -96,11 +96,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
             )
         ).alias("best")
     )
-    found = best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
+    # Written, so that AQE can split the last join where a third of all rows have one url: it splits joins between plain shuffles only.
+    # Without the hint Spark would judge by the size of the compressed files and broadcast many times that.
+    found = scratch(best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict")), "url-found")
     kept = [c for c in rows.columns if c not in ("rule", "verdict")]
     return (
         rows.select(*[f"`{c}`" for c in kept])
-        .join(found, ["host", "path"], "left")
+        .join(found.hint("merge"), ["host", "path"], "left")
         .withColumn("verdict", F.coalesce("verdict", F.lit(default)))
         .select(*[f"`{c}`" for c in kept], "rule", "verdict")
     )
