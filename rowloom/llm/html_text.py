@@ -53,8 +53,8 @@ BOILER_WORDS = frozenset(
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+>|[^>]*>)|[^<]+|<", re.S
 )
-ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?=;|$)", re.I)
 
 
 @dataclass
@@ -68,15 +68,25 @@ class Node:
     children: list = field(default_factory=list)
 
 
-def _words(attrs: str) -> tuple[str, list[str]]:
-    """Generalised class for the path, and the words that tell boilerplate."""
-    classes, words = [], []
+def _attributes(attrs: str) -> dict[str, str]:
+    """Values by name in lower case; of several with one name the first counts, as in browsers."""
+    found: dict[str, str] = {}
     for name, *values in ATTR.findall(attrs):
-        value = next((v for v in values if v), "")
-        words += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-        if name.lower() == "class":
-            classes += [re.sub(r"\d+", "", c.lower()) for c in value.split()]
-    return ".".join(sorted({c for c in classes if c})), words
+        found.setdefault(name.lower(), next((v for v in values if v), ""))
+    return found
+
+
+def _hidden(named: dict[str, str]) -> bool:
+    """By the attribute hidden (until-found is text that can be found), a style of its own, or aria-hidden."""
+    bare = "hidden" in named and named["hidden"].strip().lower() != "until-found"
+    return bare or named.get("aria-hidden", "").strip().lower() == "true" or bool(UNSEEN.search(named.get("style", "")))
+
+
+def _words(named: dict[str, str]) -> tuple[str, list[str]]:
+    """Generalised class for the path, and the words that tell boilerplate."""
+    words = [w for name in ("class", "id", "role") for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named.get(name, "")).lower())]
+    classes = {re.sub(r"\d+", "", c.lower()) for c in named.get("class", "").split()}
+    return ".".join(sorted(c for c in classes if c)), words
 
 
 def parse(html: str) -> tuple[Node, list[tuple[str, Node]]]:
@@ -166,8 +176,9 @@ def parse(html: str) -> tuple[Node, list[tuple[str, Node]]]:
             node, link = shut.parent, 0
         if node.depth >= MAX_DEPTH:
             continue
-        label, words = _words(attrs)
-        boiler = node.boiler or tag in BOILER_TAGS or bool(HIDDEN.search(attrs))
+        named = _attributes(attrs)
+        label, words = _words(named)
+        boiler = node.boiler or tag in BOILER_TAGS or (tag not in ("html", "body") and _hidden(named))
         if not boiler and tag not in ("html", "body", "article", "main"):
             boiler = any(w in BOILER_WORDS for w in words)
         if not boiler and tag == "header":

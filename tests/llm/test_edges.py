@@ -142,6 +142,18 @@ def test_html(spark):
     assert html_text.extract_text(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("attrs", ['class="overflow-hidden"', 'style="overflow: hidden"', "class='md:hidden-xs lead'", 'data-hidden="1"', 'aria-hidden="false"', 'title="hidden display:none"', 'data-id="sidebar"'])
+def test_html_that_only_looks_hidden(attrs):
+    for page in (f"<body {attrs}><p>a b c</p></body>", f"<body><main {attrs}><p>a b c</p></main></body>", f"<article><div {attrs}><p>a b c</p></div></article>"):
+        assert html_text.extract(page, None) == "a b c"
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "HIDDEN=''", "class=x hidden", 'aria-hidden="true"', "aria-hidden=true", 'style="color:red; display : none"', "style='visibility:hidden !important'"])
+def test_html_that_is_hidden(attrs):
+    assert html_text.extract(f"<article><p>a</p><div {attrs}><p>b</p></div></article>", None) == "a"
+    assert html_text.extract(f"<body {attrs}><p>a</p></body>", None) == "a"
+
+
 def test_urls(spark):
     rules = spark.createDataFrame([("net", "/", "block"), ("a.net", "/en", "allow"), (None, "/", "block"), ("b.net", None, "allow"), ("a.net", "/en", "allow")], "host string, path string, verdict string")
     rows = [(1, "http://x.A.NET/english"), (2, None), (3, "no scheme.net/"), (4, "http://c.net"), (5, "http://c.net/?q=://a.net/en"), (5, "http://c.net/?q=://a.net/en"), (None, "https://b.net")]
