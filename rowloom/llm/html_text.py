@@ -1,7 +1,7 @@
 """Main text of web pages by consensus host paths.
 
 Each page's containers are scored by the text that is theirs and not links or boilerplate; the page votes for the
-path of its best container, a path being tags with generalised classes (digits out, sorted). Votes are counted per host, and
+path of its best container, the deepest one that holds all of that text, a path being tags with generalised classes (digits out, sorted). Votes are counted per host, and
 each page is read again with its host's winning path. A page without that path falls back on its own best
 container.
 
@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +37,7 @@ BLOCKS = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("article main section div td body html blockquote".split())
+HEADINGS, TITLE = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset(["h1"])
 # What an opening tag closes, up to the given scope.
 CLOSES = {
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"),
@@ -68,6 +70,13 @@ class Node:
     children: list = field(default_factory=list)
 
 
+class Block(NamedTuple):
+    text: str
+    node: Node
+    home: Node  # the container that holds it
+    weight: int  # characters outside links
+
+
 def _attributes(attrs: str) -> dict[str, str]:
     """Values by name in lower case; of several with one name the first counts, as in browsers."""
     found: dict[str, str] = {}
@@ -89,10 +98,10 @@ def _words(named: dict[str, str]) -> tuple[str, list[str]]:
     return ".".join(sorted(c for c in classes if c)), words
 
 
-def parse(html: str) -> tuple[Node, list[tuple[str, Node]]]:
-    """The root, and the blocks of content in page order, each with the element that holds it."""
+def parse(html: str) -> tuple[Node, list[Block]]:
+    """The root, and the blocks of content in page order."""
     root = node = Node("html", "html", None, False)
-    blocks: list[tuple[str, Node]] = []
+    blocks: list[Block] = []
     buffer: list[str] = []
     link = 0  # how deep in links
     linked = 0
@@ -107,8 +116,8 @@ def parse(html: str) -> tuple[Node, list[tuple[str, Node]]]:
                 home = node
                 while home.tag not in CONTAINERS and home.parent:
                     home = home.parent
-                blocks.append((text, home))
                 weight = max(0, len(text) - linked)
+                blocks.append(Block(text, node, home, weight))
                 up: Node | None = home
                 while up:
                     up.chars += weight
@@ -195,48 +204,63 @@ def _up(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def best_container(root: Node) -> Node:
-    """An article or main element with most text if it has a third of it; otherwise the deepest container that still holds most of it."""
-    all_nodes, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        all_nodes.append(node)
-        stack += node.children
-    marked = [n for n in all_nodes if n.tag in ("article", "main") and not n.boiler and n.chars]
-    if marked:
-        top = max(marked, key=lambda n: (n.chars, n.tag == "article", len(n.path)))
-        inner = [n for n in marked if n.tag == "article" and n.path.startswith(top.path + "/") and n.chars * 10 >= top.chars * 9]
-        if top.chars * 3 >= root.chars:
-            return inner[0] if inner and top.tag == "main" else top
-    node = root
-    while True:
-        below = [c for c in node.children if not c.boiler and c.chars * 10 >= node.chars * 8 and c.chars]
-        if not below:
-            break
-        node = below[0]
+def _deepest(node: Node) -> Node:
+    """The deepest container below node with all of its content."""
+    while whole := [c for c in node.children if c.chars and c.chars == node.chars]:
+        node = whole[0]
     while node.tag not in CONTAINERS and node.parent:
         node = node.parent
     return node
 
 
+def best_container(root: Node, blocks: list[Block]) -> Node:
+    """The deepest container with all content of the main element, if there is one with a third of the text, or else of the page.
+    If that is the page itself, labels of one or two words in containers of their own don't count."""
+    mains, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == "main" and node.chars:
+            mains.append(node)
+        else:
+            stack += node.children
+    if len(mains) == 1 and mains[0].chars * 3 >= root.chars:
+        return _deepest(mains[0])
+    node = _deepest(root)
+    if node.tag in ("html", "body"):
+        for child in node.children:
+            if child.chars * 10 >= node.chars * 8 and child.chars:
+                rest = [b for b in blocks if b.weight and not any(n is child for n in _up(b.home))]
+                if all(b.home is not node and len(b.text.split()) <= 2 and not _within(b.node, HEADINGS) for b in rest):
+                    return _deepest(child)
+    return node
+
+
+def _within(node: Node, tags: frozenset[str]) -> bool:
+    return any(n.tag in tags for n in _up(node))
+
+
 def vote(html: str | None) -> tuple[str, int] | None:
     root, blocks = parse(html or "")
     if not blocks:
         return None
-    best = best_container(root)
+    best = best_container(root, blocks)
     return best.path, best.chars
 
 
 def extract(html: str | None, path: str | None) -> str:
-    """Blocks below the elements with this path, or below the page's own best container."""
+    """Blocks below the elements with this path, or below the page's own best container. Of the rest of the page, the
+    first-order headings and what stands directly in an ancestor of these elements belong to the article too, unless it is links."""
     root, blocks = parse(html or "")
     if not blocks:
         return ""
-    homes = {id(home): any(n.path == path for n in _up(home)) for _, home in blocks} if path else {}
-    if not any(homes.values()):
-        best = best_container(root)
-        homes = {id(home): any(n is best for n in _up(home)) for _, home in blocks}
-    return "\n\n".join(text for text, home in blocks if homes[id(home)])
+    tops = {id(n): n for b in blocks for n in _up(b.home) if n.path == path} if path else {}
+    if not tops:
+        best = best_container(root, blocks)
+        tops = {id(best): best}
+    above = {id(n) for top in tops.values() for n in _up(top)}
+    return "\n\n".join(
+        b.text for b in blocks if any(id(n) in tops for n in _up(b.home)) or (b.weight and (id(b.home) in above or _within(b.node, TITLE)))
+    )
 
 
 def _mapped(df: DataFrame, inputs: int, made, name: str, kind: T.DataType) -> DataFrame:

@@ -154,6 +154,28 @@ def test_html_that_is_hidden(attrs):
     assert html_text.extract(f"<body {attrs}><p>a</p></body>", None) == "a"
 
 
+LONG_BODY = "long body text " * 40
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div class=post><h1>Title</h1><p>lead</p><div class=body><p>{}</p></div><p>end</p></div></body>",
+        "<body><div class=post><div class=head><h1>Title</h1><p>lead</p></div><div class=body><p>{}</p></div><div>end</div></div></body>",
+        "<body><h1>Title</h1><p>lead</p><div class=body><p>{}</p></div><p>end</p></body>",
+        "<body><div class=top><h1>Title</h1></div><div class=lead>lead</div><div class=body><p>{}</p></div><div class=last>end</div></body>",
+        "<body><div class=post><h1>Title</h1><p>lead</p><blockquote><p>{}</p></blockquote><p>end</p></div></body>",
+        "<body><main><h1>Title</h1><p>lead</p><article><p>{}</p></article><p>end</p></main></body>",
+        "<body><h1>Title</h1><div class=a>lead</div><article><p>{}</p></article><div class=z>end</div></body>",
+    ],
+)
+def test_html_keeps_what_is_around_the_body(spark, page):
+    page, want = page.format(LONG_BODY), f"Title\n\nlead\n\n{LONG_BODY.strip()}\n\nend"
+    assert html_text.extract(page, None) == want
+    out = html_text.extract_text(spark.createDataFrame([(i, "http://h.com/a", page) for i in range(3)], "page_id long, url string, html string")).collect()
+    assert {r.text for r in out} == {want}
+
+
 def test_urls(spark):
     rules = spark.createDataFrame([("net", "/", "block"), ("a.net", "/en", "allow"), (None, "/", "block"), ("b.net", None, "allow"), ("a.net", "/en", "allow")], "host string, path string, verdict string")
     rows = [(1, "http://x.A.NET/english"), (2, None), (3, "no scheme.net/"), (4, "http://c.net"), (5, "http://c.net/?q=://a.net/en"), (5, "http://c.net/?q=://a.net/en"), (None, "https://b.net")]
