@@ -43,14 +43,19 @@ CLOSES = {
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"),
     "th": ("td th", "tr table"), "option": ("option", "select"),
 }
-# Boilerplate, by tag and by word of a class, id or role.
-BOILER_TAGS = frozenset("nav aside footer form menu dialog".split())
+# Boilerplate: by tag; and less surely by form or by a class, id or role all of whose words are BOILER_WORDS or PLAIN_WORDS, with one of the former.
+BOILER_TAGS = frozenset("nav aside footer menu dialog".split())
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
     "copyright disqus footer gdpr header login masthead menu menus nav navbar navigation newsletter notice notices paywall popup promo promos promoted "
     "recommended related replies respond rss search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe toolbar "
     "widget widgets".split()
 )
+PLAIN_WORDS = frozenset(
+    "area articles bar block body bottom box button buttons col column container form global group icons inner item items left link links list main outer "
+    "page panel posts primary right secondary section site sticky top wrap wrapper".split()
+)
+PART_WORDS = frozenset("block box item main page panel section".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+>|[^>]*>)|[^<]+|<", re.S
@@ -64,8 +69,12 @@ class Node:
     tag: str
     path: str
     parent: Node | None
-    boiler: bool
+    sure: bool  # boilerplate by tag or hidden, or below such an element
+    doubt: bool = False  # boilerplate if it is a small part of the page and holds no article
     depth: int = 0
+    boiler: bool = False
+    holds: bool = False  # an article or main element
+    mass: int = 0  # characters below that are not surely boilerplate, without links
     chars: int = 0  # of content below
     children: list = field(default_factory=list)
 
@@ -91,17 +100,28 @@ def _hidden(named: dict[str, str]) -> bool:
     return bare or named.get("aria-hidden", "").strip().lower() == "true" or bool(UNSEEN.search(named.get("style", "")))
 
 
-def _words(named: dict[str, str]) -> tuple[str, list[str]]:
-    """Generalised class for the path, and the words that tell boilerplate."""
-    words = [w for name in ("class", "id", "role") for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named.get(name, "")).lower())]
+def _label(named: dict[str, str]) -> str:
+    """Generalised class for the path."""
     classes = {re.sub(r"\d+", "", c.lower()) for c in named.get("class", "").split()}
-    return ".".join(sorted(c for c in classes if c)), words
+    return ".".join(sorted(c for c in classes if c))
+
+
+def _doubtful(named: dict[str, str], inside: bool) -> bool:
+    """inside: of an article or main element, where a header is no boilerplate; nor is the header of a part of the page."""
+    for token in " ".join(named.get(name, "") for name in ("class", "id", "role")).split():
+        words = set(re.findall(r"[^\W\d_]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()))
+        if "header" in words and (inside or words & PART_WORDS):
+            continue
+        if words & BOILER_WORDS and words <= BOILER_WORDS | PLAIN_WORDS:
+            return True
+    return False
 
 
 def parse(html: str) -> tuple[Node, list[Block]]:
-    """The root, and the blocks of content in page order."""
+    """The root, and the blocks of content in page order. If all would be boilerplate, what is so by words alone counts as
+    content, and if nothing is left even so, everything."""
     root = node = Node("html", "html", None, False)
-    blocks: list[Block] = []
+    nodes, blocks = [root], []
     buffer: list[str] = []
     link = 0  # how deep in links
     linked = 0
@@ -112,16 +132,11 @@ def parse(html: str) -> tuple[Node, list[Block]]:
         if buffer:
             text = " ".join(unescape("".join(buffer)).split())
             buffer.clear()
-            if text and not node.boiler:
+            if text:
                 home = node
                 while home.tag not in CONTAINERS and home.parent:
                     home = home.parent
-                weight = max(0, len(text) - linked)
-                blocks.append(Block(text, node, home, weight))
-                up: Node | None = home
-                while up:
-                    up.chars += weight
-                    up = up.parent
+                blocks.append(Block(text, node, home, max(0, len(text) - linked)))
         linked = 0
 
     while pos < size:
@@ -131,10 +146,9 @@ def parse(html: str) -> tuple[Node, list[Block]]:
         if tag is None:
             text = m[0]
             if not text.startswith("<") or text == "<":
-                if not node.boiler:
-                    buffer.append(text)
-                    if link:
-                        linked += len(text.strip())
+                buffer.append(text)
+                if link:
+                    linked += len(text.strip())
             continue
         tag = tag.lower()
         if m["end"]:
@@ -185,17 +199,45 @@ def parse(html: str) -> tuple[Node, list[Block]]:
             node, link = shut.parent, 0
         if node.depth >= MAX_DEPTH:
             continue
-        named = _attributes(attrs)
-        label, words = _words(named)
-        boiler = node.boiler or tag in BOILER_TAGS or (tag not in ("html", "body") and _hidden(named))
-        if not boiler and tag not in ("html", "body", "article", "main"):
-            boiler = any(w in BOILER_WORDS for w in words)
-        if not boiler and tag == "header":
-            boiler = not any(n.tag in ("article", "main") for n in _up(node))
-        node = Node(tag, (f"{node.path}/{tag}" + (f".{label}" if label else ""))[:MAX_PATH], node, boiler, node.depth + 1)
+        named = _attributes(attrs) if len(attrs) > 1 else {}
+        label = _label(named)
+        inside = any(n.tag in ("article", "main") for n in _up(node))
+        sure = node.sure or tag in BOILER_TAGS or (tag not in ("html", "body") and _hidden(named)) or (tag == "header" and not inside)
+        sure = sure or (tag == "form" and node.tag not in ("html", "body"))  # below body it may wrap the page
+        doubtful = bool(named) and _doubtful(named, inside)
+        if not sure and (tag == "main" or (tag == "article" and not doubtful)):
+            for up in _up(node):
+                up.holds = True
+        doubt = tag == "form" or (doubtful and tag not in ("html", "body", "article", "main"))
+        node = Node(tag, (f"{node.path}/{tag}" + (f".{label}" if label else ""))[:MAX_PATH], node, sure, doubt, node.depth + 1)
         node.parent.children.append(node)
+        nodes.append(node)
     flush()
-    return root, blocks
+    return root, _content(nodes, blocks)
+
+
+def _content(nodes: list[Node], blocks: list[Block]) -> list[Block]:
+    """The blocks that are no boilerplate; marks the nodes that are, and sums up the characters of the others."""
+    for b in blocks:
+        if not b.node.sure:
+            for n in _up(b.node):
+                n.mass += b.weight
+    root = nodes[0]
+    tests = (
+        lambda n: n.sure or (n.doubt and not n.holds and n.mass * 2 <= root.mass),
+        lambda n: n.sure,
+        lambda n: False,
+    )
+    kept: list[Block] = []
+    for boiler in tests:
+        for n in nodes:  # parents come first
+            n.boiler = boiler(n) or bool(n.parent and n.parent.boiler)
+        if kept := [b for b in blocks if not b.node.boiler]:
+            break
+    for b in kept:
+        for n in _up(b.home):
+            n.chars += b.weight
+    return kept
 
 
 def _up(node: Node | None) -> Iterator[Node]:

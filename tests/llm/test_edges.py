@@ -176,6 +176,26 @@ def test_html_keeps_what_is_around_the_body(spark, page):
     assert {r.text for r in out} == {want}
 
 
+@pytest.mark.parametrize("attrs", ["class='site-content no-sidebar'", "class=has-sidebar", "class='elementor-widget-text-editor'", "id=search-result-article", "class=entry-header", "class=page-header", "class=header", "class=sidebar"])
+def test_html_words_of_wrappers(attrs):
+    whole = "Title\n\none two three"
+    assert html_text.extract(f"<body><div {attrs}><h1>Title</h1><p>one two three</p></div></body>", None) == whole
+    assert html_text.extract(f"<body><div {attrs}><article><h1>Title</h1><p>one two three</p></article></div><nav>menu</nav></body>", None) == whole
+    if "class=sidebar" != attrs:
+        assert html_text.extract(f"<article><div {attrs}><h1>Title</h1></div><p>one two three</p></article>", None) == whole
+
+
+@pytest.mark.parametrize("attrs", ["class=sidebar", "class='x site-footer'", "id=cookie-banner", "class=relatedPosts", "role=search", "class='comment-list'"])
+def test_html_words_of_boilerplate(attrs):
+    assert html_text.extract(f"<body><div class=post><p>{LONG_BODY}</p></div><div {attrs}><p>not this text</p></div></body>", None) == LONG_BODY.strip()
+
+
+def test_html_when_all_is_boilerplate():
+    assert html_text.extract("<body><div class=sidebar><p>a b c</p></div><div class=widget><p>d e f</p></div><nav>g</nav></body>", None) == "a b c\n\nd e f"
+    assert html_text.extract("<body><footer><p>a b c</p></footer></body>", None) == "a b c"
+    assert html_text.extract("<body><form><nav>menu</nav><div><p>a b c</p></div></form></body>", None) == "a b c"
+
+
 def test_urls(spark):
     rules = spark.createDataFrame([("net", "/", "block"), ("a.net", "/en", "allow"), (None, "/", "block"), ("b.net", None, "allow"), ("a.net", "/en", "allow")], "host string, path string, verdict string")
     rows = [(1, "http://x.A.NET/english"), (2, None), (3, "no scheme.net/"), (4, "http://c.net"), (5, "http://c.net/?q=://a.net/en"), (5, "http://c.net/?q=://a.net/en"), (None, "https://b.net")]
