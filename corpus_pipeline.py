@@ -15,7 +15,9 @@ from rowloom.llm._shared import scratch, table
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of no language: those without text or without a letter. All others stay, whatever their language."""
-    samples = language_id.learn(docs.filter(language_id.fold_number(F.col("doc_id")) != 1))
+    samples = language_id.learn(docs)
+    if not samples:  # nothing is labelled, and identify() would tell no text from another
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     judged = language_id.identify(docs, samples)
     return judged.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
 

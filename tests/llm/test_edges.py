@@ -125,6 +125,17 @@ def test_language(docs, none):
     assert {r.lang_pred for r in language_id.identify(docs, ()).collect()} == {"und"}
 
 
+def test_pipeline_keeps_documents_without_labels(spark, docs):
+    import corpus_pipeline
+
+    want = sorted(r[1] for r in ROWS if any(c.isalpha() for c in r[1] or ""))
+    fold = language_id.fold_number(F.col("doc_id")) == 1
+    assert docs.filter(fold).count()
+    for lang in (F.lit(None).cast("string"), F.when(fold, "en")):
+        out = corpus_pipeline.language(spark, docs.withColumn("lang", lang), "").collect()
+        assert sorted(r.text for r in out) == want
+
+
 def test_pii(docs, none):
     out = {r.doc_id: r for r in pii.pseudonymise(clash(docs), "k").collect()}
     assert out[2].text is None and out[2].pii == [] and out[3].text == "" and out[4].text == LONG and out[7].text == "12345 !!! \t\n"
