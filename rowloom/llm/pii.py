@@ -24,7 +24,7 @@ FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 319, 229  # 319 * 229 days: 1900-01-01
 
 # Fixed formats, as regular expressions. Each begins where no letter or digit stands before it, and has bounded repeats.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
-DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)"
+DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}(?=[Tt](?![A-Za-z_])|(?![\w/-]|\.\d))|(?:\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d))"
 IP = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 PHONE = (
@@ -34,7 +34,24 @@ PHONE = (
     r"|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)"
     r"|(?<![\w.-])\d{3}([.-])\d{3}\1\d{4}(?![\w-])"
 )
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?!\w)"
+# Countries of the IBAN registry by the length of their numbers. Others, and lengths that aren't their country's, match by the last alternative.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    spaced = rf"(?: [A-Z0-9]{{4}}){{{groups}}}" + (rf" [A-Z0-9]{{{rest}}}" if rest else "")
+    return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?:[A-Z0-9]{{{length - 4}}}|{spaced})(?!\w)"
+
+
+IBAN = (
+    r"(?<!\w)(?=[A-Z]{2}\d{2})(?:" + "|".join(_iban(n, c) for n, c in IBAN_LENGTHS.items())
+    + r"|[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?!\w))"
+)
 CARD = r"(?<![\w])(?:\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)"
 ANY = "|".join((EMAIL, DATE, IP, SSN, PHONE, IBAN, CARD))
 

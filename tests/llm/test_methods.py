@@ -304,6 +304,22 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(df, "other").first().text != a
 
 
+def test_pseudonyms_before_other_words(spark):
+    found = {
+        "BE68 5390 0754 7034": " BIC", "ES91 2100 0418 4502 0005 1332": " EUR", "BE68 5390 0754 7034 ": "500", "AT61 1904 3002 3457 3201": " 12 A",
+        "PL61 1090 1014 0000 0712 1981 2874": " PLN 5", "NO93 8601 1117 947": " NOK", "1985-03-12": "T10:00:00Z",
+    }
+    df = spark.createDataFrame([("; ".join(k + v for k, v in found.items()),)], "text string")
+    row = pii.pseudonymise(df, "key").first()
+    assert [x.kind for x in row.pii] == ["iban"] * 6 + ["date"]
+    for (old, tail), new in zip(found.items(), row.text.split("; ")):
+        assert new.endswith(tail) and not new.startswith(old.strip()) and len(new) == len(old + tail)
+        value = new[: len(old.strip())]
+        assert iban(value) if old[0].isalpha() else pd.Timestamp(value)
+    same = "1985-03-12Tuesday; 1985-13-12T10:00; BE69 5390 0754 7034 BIC"
+    assert pii.pseudonymise(spark.createDataFrame([(same,)], "text string"), "key").first().text == same
+
+
 def test_no_personal_data_left(spark):
     own = re.compile(r"[\w.]+@[\w.]+|(?<!\w)\d{16}(?!\w)|\+1 \(\d{3}\) \d{3}-\d{4}|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])")
     old = {r[0]: r[1] for r in duckdb.sql(f"select doc_id, text from '{DATA}/documents.parquet'").fetchall()}
