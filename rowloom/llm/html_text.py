@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from html import unescape
 from typing import NamedTuple
 
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 from ._shared import fresh, scratch, small_batches
 from .url_filter import split_url
 
-BROADCAST_ROWS = 20_000  # winning paths (at most 500 bytes each) up to which the join is a broadcast one
-MAX_PATH = 400
+BROADCAST_ROWS = 20_000  # winning paths (at most MAX_PATH characters each) up to which the join is a broadcast one
+MAX_PATH = 400  # longer paths end in a digest of the whole
 MAX_DEPTH = 512  # elements nested deeper stand for their ancestor at this depth, as in browsers; their text stays
 
 # Fixed values of the HTML standard: elements without content, with raw text, and blocks.
@@ -106,6 +107,14 @@ def _label(named: dict[str, str]) -> str:
     return ".".join(sorted(c for c in classes if c))
 
 
+def _bounded(path: str) -> str:
+    """A parent's digest is part of its children's paths, so it stands for all that is above."""
+    if len(path) <= MAX_PATH:
+        return path
+    digest = blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    return f"{path[: MAX_PATH - len(digest) - 1]}#{digest}"
+
+
 def _doubtful(named: dict[str, str], inside: bool) -> bool:
     """inside: of an article or main element, where a header is no boilerplate; nor is the header of a part of the page."""
     for token in " ".join(named.get(name, "") for name in ("class", "id", "role")).split():
@@ -209,7 +218,7 @@ def parse(html: str) -> tuple[Node, list[Block]]:
             for up in _up(node):
                 up.holds = True
         doubt = tag == "form" or (doubtful and tag not in ("html", "body", "article", "main"))
-        node = Node(tag, (f"{node.path}/{tag}" + (f".{label}" if label else ""))[:MAX_PATH], node, sure, doubt, node.depth + 1)
+        node = Node(tag, _bounded(f"{node.path}/{tag}" + (f".{label}" if label else "")), node, sure, doubt, node.depth + 1)
         node.parent.children.append(node)
         nodes.append(node)
     flush()

@@ -207,6 +207,19 @@ def test_html_when_all_is_boilerplate():
     assert html_text.extract("<body><form><nav>menu</nav><div><p>a b c</p></div></form></body>", None) == "a b c"
 
 
+def test_html_containers_below_long_paths(spark):
+    wide = "".join(f"<div class='{' '.join(f'utility-{c}{d}' for c in 'abcdefghijklmnop')}'>" for d in "xyz")
+    page = f"<body>{wide}<div class=story><p>{{}}</p></div><div class=more><p>{{}}</p></div></body>"
+    root, blocks = html_text.parse(page.format("a b c", "d e f"))
+    assert len({b.home.path for b in blocks}) == 2 and all(len(n.path) <= html_text.MAX_PATH for b in blocks for n in html_text._up(b.node))
+    story = next(b.home.path for b in blocks if b.text == "a b c")
+    assert html_text.extract(page.format("short", "other words " * 30), story) == "short"
+    # by the votes of a host
+    rows = [(i, "http://h.com/a", f"<body>{wide}<div class=story><p>{LONG_BODY}</p></div></body>") for i in range(3)] + [(9, "http://h.com/a", page.format("short", "other words " * 30))]
+    out = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[9] == "short"
+
+
 def test_urls(spark):
     rules = spark.createDataFrame([("net", "/", "block"), ("a.net", "/en", "allow"), (None, "/", "block"), ("b.net", None, "allow"), ("a.net", "/en", "allow")], "host string, path string, verdict string")
     rows = [(1, "http://x.A.NET/english"), (2, None), (3, "no scheme.net/"), (4, "http://c.net"), (5, "http://c.net/?q=://a.net/en"), (5, "http://c.net/?q=://a.net/en"), (None, "https://b.net")]
