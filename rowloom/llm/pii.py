@@ -110,8 +110,9 @@ def _refill(shape: Column, digits: Column, start: int = 1) -> Column:
     return F.aggregate(cells, begin, step, lambda now: now["out"])
 
 
-def permute_digits(digits: Column, key: str, kind: str, most: int = 18) -> Column:
-    """Digits of one length permuted among themselves: the last `most` of them at most, the rest stays in front."""
+def permute_digits(digits: Column, key: str, kind: str, most: int = 30) -> Column:
+    """Digits of one length permuted among themselves: all of up to `most`, which no format here exceeds and whose halves fit
+    a bigint with a round's value added."""
 
     def build(d: Column) -> Column:
         size = F.length(d)

@@ -320,6 +320,17 @@ def test_pseudonyms_before_other_words(spark):
     assert pii.pseudonymise(spark.createDataFrame([(same,)], "text string"), "key").first().text == same
 
 
+def test_all_digits_of_long_numbers_are_permuted(spark):
+    heads = ["0" * n for n in (1, 4, 10, 12)]
+    rows = [(i, h + f"{i:018d}") for h in heads for i in range(40)]
+    df = spark.createDataFrame(rows, "i long, d string").select("d", pii.permute_digits(F.col("d"), "k", "iban").alias("p"))
+    got = df.collect()
+    assert all(len(r.d) == len(r.p) and r.p.isdigit() for r in got)
+    for h in heads:
+        own = [r.p for r in got if len(r.d) == 18 + len(h)]
+        assert len(set(own)) == 40 and len({p[: len(h)] for p in own}) > 5 and all(len({p[k] for p in own}) > 3 for p in own[:1] for k in range(len(p)))
+
+
 def test_no_personal_data_left(spark):
     own = re.compile(r"[\w.]+@[\w.]+|(?<!\w)\d{16}(?!\w)|\+1 \(\d{3}\) \d{3}-\d{4}|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])")
     old = {r[0]: r[1] for r in duckdb.sql(f"select doc_id, text from '{DATA}/documents.parquet'").fetchall()}
