@@ -12,7 +12,8 @@ are tolerated as browsers do; repeated rows get equal results; an empty table gi
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
 from html import unescape
@@ -28,11 +29,13 @@ from .url_filter import split_url
 
 BROADCAST_ROWS = 20_000  # winning paths (at most MAX_PATH characters each) up to which the join is a broadcast one
 MAX_PATH = 400  # longer paths end in a digest of the whole
-MAX_DEPTH = 512  # elements nested deeper stand for their ancestor at this depth, as in browsers; their text stays
 
-# Fixed values of the HTML standard: elements without content, with raw text, and blocks.
+# Fixed values of the HTML standard: elements without content, with raw text, other elements whose content is no text of the page, those
+# among them that may close themselves, and blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe object svg math select button canvas audio video".split())
+RAW = frozenset("script style textarea title noscript iframe".split())
+APART = frozenset("template object svg math select button canvas audio video".split())
+FOREIGN = frozenset("svg math".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -59,21 +62,22 @@ PLAIN_WORDS = frozenset(
 PART_WORDS = frozenset("block box item main page panel section".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+>|[^>]*>)|[^<]+|<", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+>|[^>]*>)|[^<]+|<", re.S
 )
 ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?=;|$)", re.I)
 
 
-@dataclass
+@dataclass(slots=True, eq=False)
 class Node:
     tag: str
     path: str
     parent: Node | None
     sure: bool  # boilerplate by tag or hidden, or below such an element
     doubt: bool = False  # boilerplate if it is a small part of the page and holds no article
-    depth: int = 0
+    inside: bool = False  # it is, or is below, an article or main element
     boiler: bool = False
+    mark: bool = False  # scratch of one walk over the nodes
     holds: bool = False  # an article or main element
     mass: int = 0  # characters below that are not surely boilerplate, without links
     chars: int = 0  # of content below
@@ -126,15 +130,19 @@ def _doubtful(named: dict[str, str], inside: bool) -> bool:
     return False
 
 
-def parse(html: str) -> tuple[Node, list[Block]]:
-    """The root, and the blocks of content in page order. If all would be boilerplate, what is so by words alone counts as
-    content, and if nothing is left even so, everything."""
+def parse(html: str) -> tuple[list[Node], list[Block]]:
+    """The nodes, parents first, and the blocks of content in page order. If all would be boilerplate, what is so by words alone counts
+    as content, and if nothing is left even so, everything. Time is linear in the page, but for elements that are closed
+    across many open ones."""
     root = node = Node("html", "html", None, False)
     nodes, blocks = [root], []
+    is_open: Counter[str] = Counter()  # elements of each tag that are open
+    last_end: dict[str, int] = {}  # where the last end tag of an element without text begins
     buffer: list[str] = []
     link = 0  # how deep in links
     linked = 0
     pos, size = 0, len(html)
+    last_close = html.rfind(">")
 
     def flush() -> None:
         nonlocal linked
@@ -148,7 +156,18 @@ def parse(html: str) -> tuple[Node, list[Block]]:
                 blocks.append(Block(text, node, home, max(0, len(text) - linked)))
         linked = 0
 
+    def leave(to: Node) -> None:
+        nonlocal node, link
+        while node is not to:
+            is_open[node.tag] -= 1
+            node = node.parent
+        link = 0
+
     while pos < size:
+        if pos > last_close:  # no tag ends any more
+            rest = html[pos:]
+            buffer.append(rest[: rest.find("<!--")] if "<!--" in rest else rest)
+            break
         m = TOKEN.match(html, pos)
         pos = m.end()
         tag = m["tag"]
@@ -163,24 +182,29 @@ def parse(html: str) -> tuple[Node, list[Block]]:
         if m["end"]:
             if tag == "a":
                 link = max(0, link - 1)
-            if tag in BLOCKS or tag == "br":
-                if tag == "br":
-                    buffer.append(" ")
-                    continue
-                up = node
-                while up.parent and up.tag != tag:
-                    up = up.parent
-                if up.parent and up.tag == tag:
+            elif tag == "br":
+                buffer.append(" ")
+            elif tag in BLOCKS:
+                if is_open[tag]:
                     flush()
-                    node, link = up.parent, 0
+                    up = node
+                    while up.tag != tag:
+                        up = up.parent
+                    leave(up.parent)
                 elif tag == "p":
                     flush()
             continue
         attrs = m["attrs"]
-        if tag in RAW:
-            if not attrs.endswith("/>"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, pos)
-                pos = end.end() if end else size
+        if tag in RAW or tag in APART:
+            if tag in FOREIGN and attrs.endswith("/>"):
+                continue
+            if tag not in last_end:
+                ends = [e.start() for e in re.finditer(rf"</{tag}\s*>", html, re.I)]
+                last_end[tag] = ends[-1] if ends else -1
+            if last_end[tag] >= pos:
+                pos = re.compile(rf"</{tag}\s*>", re.I).search(html, pos).end()
+            elif tag in RAW:
+                pos = size  # as browsers do
             continue
         if tag in VOID:
             if tag == "br" or tag == "wbr":
@@ -193,44 +217,49 @@ def parse(html: str) -> tuple[Node, list[Block]]:
         if tag not in BLOCKS:
             continue
         flush()
-        if tag in ("html", "body") and any(n.tag == tag for n in _up(node)):
+        if tag == "html" or (tag == "body" and is_open[tag]):
             continue
-        inner, scope = CLOSES.get(tag, ("p" if tag != "html" else "", ""))
-        stop = set(scope.split()) | CONTAINERS
-        up, shut = node, None
-        while up.parent and up.tag not in stop:
-            if up.tag in inner.split() or up.tag == "p":
+        inner, scope = CLOSES.get(tag, ("p", ""))
+        inner = {*inner.split(), "p"}
+        if any(is_open[t] for t in inner):
+            stop = set(scope.split()) | CONTAINERS
+            up, shut = node, None
+            while up.parent and up.tag not in stop:
+                if up.tag in inner:
+                    shut = up
+                up = up.parent
+            if up.parent and up.tag in inner:
                 shut = up
-            up = up.parent
-        if up.parent and up.tag in inner.split():
-            shut = up
-        if shut:
-            node, link = shut.parent, 0
-        if node.depth >= MAX_DEPTH:
-            continue
+            if shut:
+                leave(shut.parent)
         named = _attributes(attrs) if len(attrs) > 1 else {}
         label = _label(named)
-        inside = any(n.tag in ("article", "main") for n in _up(node))
-        sure = node.sure or tag in BOILER_TAGS or (tag not in ("html", "body") and _hidden(named)) or (tag == "header" and not inside)
+        inside = node.inside
+        sure = node.sure or tag in BOILER_TAGS or (tag != "body" and _hidden(named)) or (tag == "header" and not inside)
         sure = sure or (tag == "form" and node.tag not in ("html", "body"))  # below body it may wrap the page
         doubtful = bool(named) and _doubtful(named, inside)
         if not sure and (tag == "main" or (tag == "article" and not doubtful)):
-            for up in _up(node):
+            up = node
+            while up and not up.holds:
                 up.holds = True
-        doubt = tag == "form" or (doubtful and tag not in ("html", "body", "article", "main"))
-        node = Node(tag, _bounded(f"{node.path}/{tag}" + (f".{label}" if label else "")), node, sure, doubt, node.depth + 1)
+                up = up.parent
+        doubt = tag == "form" or (doubtful and tag not in ("body", "article", "main"))
+        path = _bounded(f"{node.path}/{tag}" + (f".{label}" if label else ""))
+        node = Node(tag, path, node, sure, doubt, inside or tag in ("article", "main"))
+        is_open[tag] += 1
         node.parent.children.append(node)
         nodes.append(node)
     flush()
-    return root, _content(nodes, blocks)
+    return nodes, _content(nodes, blocks)
 
 
 def _content(nodes: list[Node], blocks: list[Block]) -> list[Block]:
     """The blocks that are no boilerplate; marks the nodes that are, and sums up the characters of the others."""
     for b in blocks:
         if not b.node.sure:
-            for n in _up(b.node):
-                n.mass += b.weight
+            b.node.mass += b.weight
+    for n in reversed(nodes[1:]):
+        n.parent.mass += n.mass
     root = nodes[0]
     tests = (
         lambda n: n.sure or (n.doubt and not n.holds and n.mass * 2 <= root.mass),
@@ -244,11 +273,18 @@ def _content(nodes: list[Node], blocks: list[Block]) -> list[Block]:
         if kept := [b for b in blocks if not b.node.boiler]:
             break
     for b in kept:
-        for n in _up(b.home):
-            n.chars += b.weight
+        b.home.chars += b.weight
+    for n in reversed(nodes[1:]):
+        n.parent.chars += n.chars
     return kept
 
 
+def _mark_below(nodes: list[Node], tops: Callable[[Node], bool]) -> None:
+    """Marks the nodes that tops() picks, and all below them."""
+    for n in nodes:
+        n.mark = tops(n) or bool(n.parent and n.parent.mark)
+
+
 def _up(node: Node | None) -> Iterator[Node]:
     while node:
         yield node
@@ -264,54 +300,62 @@ def _deepest(node: Node) -> Node:
     return node
 
 
-def best_container(root: Node, blocks: list[Block]) -> Node:
+def best_container(nodes: list[Node], blocks: list[Block]) -> Node:
     """The deepest container with all content of the main element, if there is one with a third of the text, or else of the page.
     If that is the page itself, labels of one or two words in containers of their own don't count."""
-    mains, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if node.tag == "main" and node.chars:
-            mains.append(node)
-        else:
-            stack += node.children
+    root = nodes[0]
+    _mark_below(nodes, lambda n: n.tag == "main" and n.chars > 0)
+    mains = [n for n in nodes if n.mark and not n.parent.mark]
     if len(mains) == 1 and mains[0].chars * 3 >= root.chars:
         return _deepest(mains[0])
     node = _deepest(root)
     if node.tag in ("html", "body"):
         for child in node.children:
             if child.chars * 10 >= node.chars * 8 and child.chars:
-                rest = [b for b in blocks if b.weight and not any(n is child for n in _up(b.home))]
+                _mark_below(nodes, lambda n: n is child)
+                rest = [b for b in blocks if b.weight and not b.home.mark]
                 if all(b.home is not node and len(b.text.split()) <= 2 and not _within(b.node, HEADINGS) for b in rest):
                     return _deepest(child)
     return node
 
 
 def _within(node: Node, tags: frozenset[str]) -> bool:
-    return any(n.tag in tags for n in _up(node))
+    """Whether node is, or is in, one of these elements, up to its container."""
+    while node.tag not in tags:
+        if node.tag in CONTAINERS or not node.parent:
+            return False
+        node = node.parent
+    return True
 
 
 def vote(html: str | None) -> tuple[str, int] | None:
-    root, blocks = parse(html or "")
+    nodes, blocks = parse(html or "")
     if not blocks:
         return None
-    best = best_container(root, blocks)
+    best = best_container(nodes, blocks)
     return best.path, best.chars
 
 
 def extract(html: str | None, path: str | None) -> str:
     """Blocks below the elements with this path, or below the page's own best container. Of the rest of the page, the
     first-order headings and what stands directly in an ancestor of these elements belong to the article too, unless it is links."""
-    root, blocks = parse(html or "")
+    nodes, blocks = parse(html or "")
     if not blocks:
         return ""
-    tops = {id(n): n for b in blocks for n in _up(b.home) if n.path == path} if path else {}
-    if not tops:
-        best = best_container(root, blocks)
-        tops = {id(best): best}
-    above = {id(n) for top in tops.values() for n in _up(top)}
-    return "\n\n".join(
-        b.text for b in blocks if any(id(n) in tops for n in _up(b.home)) or (b.weight and (id(b.home) in above or _within(b.node, TITLE)))
-    )
+    chosen: Callable[[Node], bool] = lambda n: n.path == path
+    _mark_below(nodes, chosen)
+    if not path or not any(b.home.mark for b in blocks):
+        best = best_container(nodes, blocks)
+        chosen = lambda n: n is best
+        _mark_below(nodes, chosen)
+    above: set[int] = set()
+    for b in blocks:
+        if b.home.mark and id(b.home) not in above:
+            n = b.home
+            while n and id(n) not in above:
+                above.add(id(n))
+                n = n.parent
+    return "\n\n".join(b.text for b in blocks if b.home.mark or (b.weight and (id(b.home) in above or _within(b.node, TITLE))))
 
 
 def _mapped(df: DataFrame, inputs: int, made, name: str, kind: T.DataType) -> DataFrame:

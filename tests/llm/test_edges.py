@@ -210,7 +210,7 @@ def test_html_when_all_is_boilerplate():
 def test_html_containers_below_long_paths(spark):
     wide = "".join(f"<div class='{' '.join(f'utility-{c}{d}' for c in 'abcdefghijklmnop')}'>" for d in "xyz")
     page = f"<body>{wide}<div class=story><p>{{}}</p></div><div class=more><p>{{}}</p></div></body>"
-    root, blocks = html_text.parse(page.format("a b c", "d e f"))
+    _, blocks = html_text.parse(page.format("a b c", "d e f"))
     assert len({b.home.path for b in blocks}) == 2 and all(len(n.path) <= html_text.MAX_PATH for b in blocks for n in html_text._up(b.node))
     story = next(b.home.path for b in blocks if b.text == "a b c")
     assert html_text.extract(page.format("short", "other words " * 30), story) == "short"
