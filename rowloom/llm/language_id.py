@@ -4,16 +4,18 @@ One suffix automaton per language is built from a bounded sample of labelled tex
 longest pieces that occur in a language's sample; n symbols in c phrases give the cross-entropy estimate
 c * log2(sample size) / n bits per symbol (Ziv and Merhav), and the language with the fewest bits wins. Whole texts
 are parsed, in segments of SEGMENT symbols that all advance together, one array operation per symbol; a segment
-starts a new phrase.
+starts a new phrase. Texts are folded PART characters at a time, and a part ends a segment. The transitions of all automata interlock in
+one array, so memory follows the samples, whatever the alphabets.
 
 Defined results: `und` with score 0 for a null text or one without a letter, or if nothing could be learned; ties go
-to the language that sorts first; repeated rows get equal results; an empty table gives an empty result.
+to the language that sorts first; repeated rows get equal results, and rows that share a key are drawn once; a row with a null key, label
+or text teaches nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,11 @@ from pyspark.sql import types as T
 
 from ._shared import small_batches
 
-SAMPLE_DOCS = 200  # labelled rows per language that may be learned from
-SAMPLE_ROW_CHARS = 4_000  # of each of them
-SAMPLE_SYMBOLS = 20_000  # symbols per language that go into its automaton
+SAMPLE_DOCS = 200  # labelled rows per language that are learned from
+SAMPLE_PASSAGE = 100  # characters of each of them, from a place drawn by its key
+MAX_LANGS = 256  # the most frequent labels
 SEGMENT = 512
+PART = 1 << 20
 BATCH_SYMBOLS = 2_000_000
 UNDETERMINED = "und"
 
@@ -51,34 +54,81 @@ def fold(text: str) -> np.ndarray:
     return points[:-1] if len(points) and points[-1] == 0x20 else points
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions [state, symbol] of the automaton of all substrings; -1 where there is none."""
-    size = 2 * len(symbols) + 2
-    nxt, link, length = np.full((size, width), -1, np.int32), [-1] * size, [0] * size
-    last, used = 0, 1
+def suffix_automaton(symbols: list[int]) -> tuple[int, np.ndarray]:
+    """The number of states, and the transitions (state, symbol, next state), of the automaton of all substrings."""
+    nxt: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
     for s in symbols:
-        cur, used = used, used + 1
-        length[cur] = length[last] + 1
+        cur = len(nxt)
+        nxt.append({})
+        link.append(0)
+        length.append(length[last] + 1)
         p = last
-        while p != -1 and nxt[p, s] < 0:
-            nxt[p, s] = cur
+        while p != -1 and s not in nxt[p]:
+            nxt[p][s] = cur
             p = link[p]
-        if p == -1:
-            link[cur] = 0
-        else:
-            q = int(nxt[p, s])
+        if p != -1:
+            q = nxt[p][s]
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
-                twin, used = used, used + 1
-                length[twin], link[twin] = length[p] + 1, link[q]
-                nxt[twin] = nxt[q]
-                while p != -1 and nxt[p, s] == q:
-                    nxt[p, s] = twin
+                twin = len(nxt)
+                nxt.append(dict(nxt[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p != -1 and nxt[p].get(s) == q:
+                    nxt[p][s] = twin
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    return nxt[:used]
+    return len(nxt), np.array([(i, s, t) for i, own in enumerate(nxt) for s, t in own.items()], np.int64).reshape(-1, 3)
+
+
+class Transitions:
+    """Transitions of many states in one array. A state is a number of its own, its base; the cell base + symbol holds, if it is the
+    state's, that base and the next one. Rows of states interlock, so there are hardly more cells than transitions."""
+
+    def __init__(self, edges: np.ndarray, states: int, width: int):
+        """edges: state, symbol, next state."""
+        edges = edges[np.lexsort((edges[:, 1], edges[:, 0]))]
+        start = np.searchsorted(edges[:, 0], np.arange(states + 1))
+        count = np.diff(start)
+        symbols = edges[:, 1]
+        room = 2 * width + 3 * len(edges) + 512
+        free, used = np.ones(room + width, bool), np.zeros(room + width, bool)
+        free[:width] = False  # so that no base is below zero
+        base = np.full(states, room, np.int64)  # of states without transitions: no cell is theirs
+        begin = width  # searches start here; what they leave behind takes the states of one transition
+        for state in np.argsort(-count, kind="stable")[: int((count > 1).sum())].tolist():
+            own = symbols[start[state] : start[state + 1]]
+            while True:
+                bases = np.flatnonzero(free[begin : begin + 256]) + (begin - own[0])
+                bases = bases[~used[bases]]
+                for s in own[1:]:
+                    bases = bases[free[bases + s]]
+                if len(bases):
+                    break
+                begin += 64
+            chosen = base[state] = bases[0]
+            used[chosen] = True
+            free[chosen + own] = False
+        holes = np.flatnonzero(free[:room])
+        alone = np.flatnonzero(count == 1)
+        for s in np.unique(symbols[start[alone]]):
+            own = alone[symbols[start[alone]] == s]
+            fit = np.flatnonzero(~used[holes - s])[: len(own)]
+            base[own] = holes[fit] - s
+            used[base[own]] = True
+            holes = np.delete(holes, fit)
+        last = int(max(base[base < room], default=0)) + 1
+        self.base, self.none = np.minimum(base, last), last
+        self.cells = np.full(last + width, -1, np.int64)
+        self.cells[base[edges[:, 0]] + symbols] = base[edges[:, 0]] << 32 | self.base[edges[:, 2]]
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether there is a transition, and the base of the state it leads to (anything if there is none)."""
+        cell = self.cells[state + symbol]
+        return cell >> 32 == state, cell & 0xFFFFFFFF
 
 
 class Model:
@@ -86,26 +136,31 @@ class Model:
 
     def __init__(self, samples: dict[str, np.ndarray]):
         self.langs = sorted(samples)
-        letters = np.unique(np.concatenate([*samples.values(), np.array([0x20], np.uint32)]))
-        self.width = len(letters) + 1  # the last symbol stands for letters that no sample has
-        self.symbol = np.full(0x110000, self.width - 1, np.int32)
-        self.symbol[letters] = np.arange(len(letters))
-        tables, self.bits, at, self.roots = [], [], 0, []
+        self.letters = np.unique(np.concatenate([*samples.values(), np.array([0x20], np.uint32)]))
+        width = len(self.letters) + 1  # the last symbol stands for letters that no sample has
+        self.bits = np.array([np.log2(max(2, len(samples[lang]))) for lang in self.langs])
+        edges, roots, at = [], [], 0
         for lang in self.langs:
-            own = suffix_automaton(self.symbol[samples[lang]].tolist(), self.width)
-            tables.append(np.where(own >= 0, own + at, -1).astype(np.int32))
-            self.roots.append(at)
-            self.bits.append(np.log2(max(2, len(samples[lang]))))
-            at += len(own)
-        flat = np.concatenate([*tables, np.full((1, self.width), -1, np.int32)])
-        self.lost = at * self.width  # after a symbol that a sample doesn't have: the next one starts a phrase
-        flat[flat >= 0] *= self.width  # states as offsets into the flat table
-        self.table = flat.ravel()
-        self.roots = np.array(self.roots, np.int32) * self.width
+            states, own = suffix_automaton(np.searchsorted(self.letters, samples[lang]).tolist())
+            edges.append(own + np.array([at, 0, at]))
+            roots.append(at)
+            at += states
+        self.next = Transitions(np.concatenate(edges), at, width)
+        self.roots = self.next.base[roots]
+        every = np.arange(width)
+        leads, first = self.next(self.roots[:, None], every)
+        self.first = np.where(leads, first, self.next.none)  # from the roots; a symbol that a sample doesn't have is a phrase by itself
+
+    @cached_property
+    def symbol(self) -> np.ndarray:
+        out = np.full(0x110000, len(self.letters), np.int32)
+        out[self.letters] = np.arange(len(self.letters))
+        return out
 
     def phrases(self, folded: list[np.ndarray]) -> np.ndarray:
         """[text, language]: how many phrases the text takes."""
-        counts = np.zeros((len(folded), len(self.langs)), np.int64)
+        langs = len(self.langs)
+        counts = np.zeros((len(folded), langs), np.int64)
         pieces = [(i, a) for i, t in enumerate(folded) for a in range(0, len(t), SEGMENT)]
         if not pieces:
             return counts
@@ -116,30 +171,41 @@ class Model:
         owner, size, begin = owner[order], size[order], begin[order]
         text = self.symbol[np.concatenate(folded)]
         active = np.searchsorted(-size, -np.arange(int(size[0])), side="left")  # segments longer than each step
-        langs = len(self.langs)
         state = np.repeat(self.roots[:, None], len(size), axis=1)
         found = np.ones((langs, len(size)), np.int32)
-        roots, table = self.roots[:, None], self.table
         for step in range(int(size[0])):
             n = active[step]
             symbols = text[begin[:n] + step]
-            now = table[state[:, :n] + symbols]
-            stuck = now < 0
+            leads, now = self.next(state[:, :n], symbols)
             if step:
-                found[:, :n] += stuck
-            again = np.where(stuck, table[roots + symbols], now)
-            state[:, :n] = np.where(again < 0, self.lost, again)
+                found[:, :n] += ~leads
+            state[:, :n] = np.where(leads, now, self.first[:, symbols])
         for k in range(langs):
             counts[:, k] = np.bincount(owner, found[k], len(folded))
         return counts
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        folded = [fold(t) for t in texts]
-        sizes = np.array([len(f) for f in folded])
-        bits = self.phrases(folded) * np.array(self.bits) / np.maximum(sizes, 1)[:, None]
+        counts, sizes = np.zeros((len(texts), len(self.langs)), np.int64), np.zeros(len(texts), np.int64)
+        held: list[tuple[int, np.ndarray]] = []
+
+        def count() -> None:
+            own = [i for i, _ in held]
+            np.add.at(counts, own, self.phrases([f for _, f in held]))
+            np.add.at(sizes, own, [len(f) for _, f in held])
+            held.clear()
+
+        total = 0
+        for i, text in enumerate(texts):
+            for at in range(0, len(text), PART):
+                held.append((i, fold(text[at : at + PART])))
+                total += len(held[-1][1])
+                if total >= BATCH_SYMBOLS:
+                    count()
+                    total = 0
+        count()
         out = []
-        for i, row in enumerate(bits):
-            if not sizes[i]:
+        for n, row in zip(sizes, counts * self.bits / np.maximum(sizes, 1)[:, None]):
+            if not n:
                 out.append((UNDETERMINED, 0.0))
                 continue
             best = int(np.argmin(row))
@@ -153,26 +219,24 @@ def _model(samples: tuple[tuple[str, str], ...]) -> Model:
     return Model({lang: np.array(list(map(ord, text)), np.uint32) for lang, text in samples})
 
 
-def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS, row_chars: int = SAMPLE_ROW_CHARS, symbols: int = SAMPLE_SYMBOLS) -> tuple[tuple[str, str], ...]:
-    """A bounded sample per language: about `sample_docs` rows (chosen by a hash of the key, so not by their place), the first
-    `row_chars` characters of each, and `symbols` folded symbols in all. Every language is sized alike if it has enough rows."""
-    rows = labelled.select(F.col(f"`{key}`").alias("k"), F.col(f"`{lang}`").alias("l"), F.col(f"`{text}`").alias("t")).filter("l is not null and t is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("l").agg(F.count("*")).collect()}  # one row per language
+def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS, passage: int = SAMPLE_PASSAGE, max_langs: int = MAX_LANGS) -> tuple[tuple[str, str], ...]:
+    """A bounded sample for each of the `max_langs` most frequent languages: a passage of each of about `sample_docs` rows, chosen by a
+    hash of the key, from a place that the hash draws too, so that no part of the rows or texts is preferred. Every row counts alike,
+    and so does every language that has enough rows."""
+    rows = labelled.select(F.col(f"`{key}`").alias("k"), F.col(f"`{lang}`").alias("l"), F.col(f"`{text}`").alias("t")).dropna()
+    sizes = {r[0]: r[1] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()}
     if not sizes:
         return ()
     share = F.coalesce(*[F.when(F.col("l") == l, F.lit(min(1.0, sample_docs / n))) for l, n in sorted(sizes.items())])
     draw = (F.xxhash64(F.lit("sample"), "k").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))).alias("draw")
-    found = rows.withColumn("draw", draw).filter(F.col("draw") < share).select("l", "draw", F.substring("t", 1, row_chars).alias("t"))
-    found = found.orderBy("draw", "l", "t").limit(4 * sample_docs * len(sizes)).collect()  # more come only of rows that share a key
+    place = F.pmod(F.xxhash64(F.lit("place"), "k"), F.greatest(F.char_length("t") - passage + 1, F.lit(1))).cast("int") + 1
+    drawn = rows.withColumn("draw", draw).filter(F.col("draw") < share).select("l", "k", F.struct("draw", F.substring("t", place, F.lit(passage)).alias("t")).alias("p"))
+    once = drawn.groupBy("l", "k").agg(F.min("p").alias("p")).select("l", "p.draw", "p.t")  # rows that share a key are one
     texts: dict[str, list[np.ndarray]] = {}
-    for r in sorted(found, key=lambda r: (r.l, r.draw, r.t)):
+    for r in sorted(once.orderBy("draw", "l").limit(4 * sample_docs * len(sizes)).collect(), key=lambda r: (r.l, r.draw, r.t)):
         if len(f := fold(r.t)):
             texts.setdefault(r.l, []).append(f)
-    out = []
-    for l, parts in sorted(texts.items()):
-        joined = np.concatenate([np.append(p, 0x20) for p in parts])[:symbols]
-        out.append((l, "".join(map(chr, joined))))
-    return tuple(out)
+    return tuple((l, "".join(map(chr, np.concatenate([np.append(p, 0x20) for p in parts])))) for l, parts in sorted(texts.items()))
 
 
 def identify(df: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "text") -> DataFrame:
@@ -180,23 +244,15 @@ def identify(df: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "t
     small_batches(df.sparkSession)
     keep = [c for c in df.columns if c not in ("lang_pred", "score")]
     at_text = keep.index(text)
+    model = _model(samples) if samples else None  # made once, and sent to the tasks: a few bytes for each symbol of the samples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(samples) if samples else None
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:  # as many whole texts as fit a batch
-                texts, total, to = [], 0, at
-                while to < batch.num_rows and (total < BATCH_SYMBOLS or to == at):
-                    texts.append(batch.column(at_text)[to].as_py() or "")
-                    total += len(texts[-1])
-                    to += 1
-                got = model.predict(texts) if model else [(UNDETERMINED, 0.0)] * len(texts)
-                part = batch.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"]
-                )
-                at = to
+            texts = [t or "" for t in batch.column(at_text).to_pylist()]
+            got = model.predict(texts) if model else [(UNDETERMINED, 0.0)] * len(texts)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"]
+            )
 
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return df.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema)
