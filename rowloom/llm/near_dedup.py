@@ -4,7 +4,8 @@ A document's set is its distinct shingles of `size` lower-cased words. Equal set
 MinHash samples are cut into BANDS keys and folded into an odd sketch, a bitmap in which each sample flips one bit; the XOR
 of two sketches has about n/2 * (1 - exp(-4k(1 - J)/n)) bits set, which tells high similarities J apart. Classes with a
 common band key are candidates; what the sketches put surely below the threshold is dropped, the rest is confirmed on
-the full sets. A pair at the threshold 0.8 meets in a band but for 1.2e-7, and passes the sketches but for about 1e-6 (by a normal approximation).
+the full sets, which hold a keyed 64-bit hash of each shingle; the key is drawn anew for each run, so texts can't be made up to
+meet in it. A pair at the threshold 0.8 meets in a band but for 1.2e-7, and passes the sketches but for about 1e-6 (by a normal approximation).
 
 Candidates are taken so that no group of copies becomes all its pairs: first each class with one hub, then with a hub of each
 of its buckets that it isn't connected to yet, and at last all pairs of a bucket that are still unconnected, compared in
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import fresh, scratch, small_batches
-from ._words import Words, mix, run_hashes
+from ._words import Words, draw_key, mix, run_hashes
 
 SHINGLE = 5
 THRESHOLD = 80  # per cent
@@ -43,13 +44,18 @@ _FLIP = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _FACTOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
-def shingle_sets(texts: list[bytes | None], size: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[bytes | None], size: int, key: int) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles."""
     words = Words(texts, lower=True)
-    hashes = words.hashes()
+    hashes = words.hashes(key)
+    whole = run_hashes(hashes, words.runs(size), size) if len(hashes) >= size else hashes[:0]
+    used = 0
     for a, b in zip(words.first.tolist(), words.first[1:].tolist()):
-        n = min(size, b - a)
-        yield np.unique(run_hashes(hashes[a:b], np.arange(b - a - n + 1), n)) if n else np.zeros(0, np.uint64)
+        if b - a >= size:
+            yield np.unique(whole[used : used + b - a - size + 1])
+            used += b - a - size + 1
+        else:
+            yield run_hashes(hashes[a:b], np.zeros(1, np.int64), b - a) if b > a else hashes[:0]
 
 
 def class_key(shingles: np.ndarray) -> bytes:
@@ -108,13 +114,13 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int, size: int = 64) -> It
             yield part, part.column(column).cast(pa.binary()).to_pylist()
 
 
-def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, size: int, id_col: str, text_col: str, key: int) -> DataFrame:
     """id, n, cls, bands and odd of each row; the last three are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches, 1):
             n, cls, bands, odd = [], [], [], []
-            for own in shingle_sets(texts, size):
+            for own in shingle_sets(texts, size, key):
                 samples = minhashes(own) if len(own) else None
                 n.append(len(own))
                 cls.append(None if samples is None else class_key(own))
@@ -148,7 +154,8 @@ def components(edges: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (the smallest id reachable) and kept."""
     small_batches(docs.sparkSession)
-    signed = scratch(signatures(docs, size, id_col, text_col), "near-signatures")
+    key = draw_key()
+    signed = scratch(signatures(docs, size, id_col, text_col, key), "near-signatures")
     usable = signed.filter("id is not null and cls is not null")
     classes = usable.groupBy("cls").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     classes = scratch(classes.withColumn("rep", F.monotonically_increasing_id()), "near-classes")
@@ -161,7 +168,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = scratch(
         classes.join(active.select("rep").distinct(), "rep").select("rep", "first", "cls", "odd", "bands"), "near-reps"
     )  # the classes that share a bucket at all
-    sets = _full_sets(docs, reps, size, id_col, text_col)
+    sets = _full_sets(docs, reps, size, id_col, text_col, key)
 
     comp = reps.select("rep", F.col("rep").alias("comp"))
     first = active.groupBy("rep").agg(F.min("hub").alias("hub")).filter("hub < rep").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
@@ -186,13 +193,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _full_sets(docs: DataFrame, reps: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+def _full_sets(docs: DataFrame, reps: DataFrame, size: int, id_col: str, text_col: str, key: int) -> DataFrame:
     """rep and its whole set, of the classes that share a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches, 2):
             cls = part.column(1).to_pylist()
-            got = [(i, own) for i, own in enumerate(shingle_sets(texts, size)) if len(own) and class_key(own) == cls[i]]
+            got = [(i, own) for i, own in enumerate(shingle_sets(texts, size, key)) if len(own) and class_key(own) == cls[i]]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(pa.array([i for i, _ in got], pa.int64())), pa.array([own.astype("<u8").tobytes() for _, own in got], pa.binary())], ["rep", "shingles"]
             )

@@ -8,10 +8,12 @@ document with a smaller id.
 2. Slices of all blocks are merged by adding cells. A cell counts at least as often as each of its windows, so windows
    with a cell below two are unique; for all others the block gets back one bit.
 3. Blocks send only the windows estimated repeated, each once with the smallest id that has it in the block, to an exact
-   grouping by a 96-bit hash; back comes one bit: whether a smaller id has it elsewhere.
+   grouping by two independent keyed 64-bit hashes (the keys are drawn anew for each run, so texts can't be made up to
+   meet in them); back comes one bit: whether a smaller id has it elsewhere.
 4. Blocks drop the covered words.
 
-No window is lost by the sketch, whatever its size. A passage in any number of documents is one entry per block.
+No window is lost by the sketch, whatever its size. A passage in any number of documents is one entry per block. Slices are as many as
+the texts' bytes ask for, so a slice's work doesn't grow with the input.
 
 Defined results: null and short texts have no windows; a null id neither removes nor loses words; equal ids do not
 remove each other's words; an empty table gives an empty result.
@@ -29,34 +31,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import scratch, shuffle_width, small_batches
-from ._words import BASE, Words, run_hashes
+from ._shared import scratch, small_batches
+from ._words import Words, draw_key, run_hashes
 
 WINDOW = 50
 BLOCK_BYTES = 4_000_000
 DEPTH, CELL_BITS = 2, 22  # rows of the sketch, and cells of a row in one slice
-NO_ID = np.iinfo(np.int64).max
+SLICE_BYTES = 10_000_000  # of text whose windows share a slice; at words of six bytes 2.5 cells for each
+Keys = tuple[int, int]
 
 
 class Block:
     """Documents of a block with the hashes of their windows."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes | None], window: int, cell_bits: int = CELL_BITS):
-        """ids: NO_ID stands for null."""
-        self.ids, self.window, self.cell_bits = ids, window, cell_bits
+    def __init__(self, ids: np.ndarray, known: np.ndarray, texts: list[bytes | None], window: int, keys: Keys, cell_bits: int = CELL_BITS):
+        """known: which ids are not null; documents without one have no windows here."""
+        self.ids, self.known, self.window, self.cell_bits = ids, known, window, cell_bits
         self.words = Words(texts)
-        hashes = self.words.hashes()
         at = self.words.runs(window)
         owner = self.words.owner()[at]
-        at, owner = at[ids[owner] != NO_ID], owner[ids[owner] != NO_ID]
+        at, owner = at[known[owner]], owner[known[owner]]
         self.at, self.doc = at, ids[owner]
-        self.h1 = run_hashes(hashes, at, window)
-        self.h2 = (run_hashes(hashes, at, window, BASE) >> np.uint64(32)).astype(np.uint32)
+        self.h1, self.h2 = (run_hashes(self.words.hashes(key), at, window) if len(at) else np.zeros(0, np.uint64) for key in keys)
 
     def cells(self, row: int, slices: int) -> np.ndarray:
         """slice << cell_bits | cell of each window in a row of the sketch."""
         part = (self.h1 >> np.uint64(1)) % np.uint64(slices)
-        cell = (self.h1 * np.uint64(2 * row + 1) + self.h2 * np.uint64(row * 0x9E37)) >> np.uint64(64 - self.cell_bits)
+        cell = (self.h1 if row == 0 else self.h2 + np.uint64(row) * self.h1) >> np.uint64(64 - self.cell_bits)
         return (part << np.uint64(self.cell_bits)) | cell
 
     def sketch(self, row: int, slices: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,39 +113,47 @@ def _gaps(sorted_values: np.ndarray) -> np.ndarray:
     return np.diff(sorted_values, prepend=np.uint64(0))
 
 
-def _pack(ids: np.ndarray, texts: list[bytes | None]) -> bytes:
+Docs = tuple[np.ndarray, np.ndarray, list[bytes | None]]  # ids, which of them are known, texts
+
+
+def _pack(ids: np.ndarray, known: np.ndarray, texts: list[bytes | None]) -> bytes:
     lengths = np.array([-1 if t is None else len(t) for t in texts], "<i8")
-    body = np.array([len(texts)], "<i8").tobytes() + ids.astype("<i8").tobytes() + lengths.tobytes() + b"".join(t or b"" for t in texts)
-    return zstandard.ZstdCompressor(level=6).compress(body)
+    head = np.array([len(texts)], "<i8").tobytes() + ids.astype("<i8").tobytes() + lengths.tobytes() + known.astype(np.uint8).tobytes()
+    return zstandard.ZstdCompressor(level=6).compress(head + b"".join(t or b"" for t in texts))
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, list[bytes | None]]:
+def _unpack(data: bytes) -> Docs:
     body = zstandard.ZstdDecompressor().decompress(data)
     (n,) = np.frombuffer(body, "<i8", 1).tolist()
     ids, lengths = np.frombuffer(body, "<i8", n, 8), np.frombuffer(body, "<i8", n, 8 + 8 * n).tolist()
-    at, texts = 8 + 16 * n, []
+    known = np.frombuffer(body, np.uint8, n, 8 + 16 * n).astype(bool)
+    at, texts = 8 + 17 * n, []
     for size in lengths:
         texts.append(None if size < 0 else body[at : at + size])
         at += max(0, size)
-    return ids, texts
+    return ids, known, texts
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, list[bytes | None]]]:
-    ids: list[int] = []
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Docs]:
+    ids: list[int | None] = []
     texts: list[bytes | None] = []
+
+    def block() -> Docs:
+        return np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids], bool), texts
+
     size = 0
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
             for key, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
-                ids.append(NO_ID if key is None else key)
+                ids.append(key)
                 texts.append(text)
                 size += len(text or b"")
                 if size >= most:
-                    yield np.array(ids, np.int64), texts
+                    yield block()
                     ids, texts, size = [], [], 0
     if ids:
-        yield np.array(ids, np.int64), texts
+        yield block()
 
 
 def _masks(rows: pd.DataFrame, stage: int) -> dict[tuple[int, int], bytes]:
@@ -152,19 +161,19 @@ def _masks(rows: pd.DataFrame, stage: int) -> dict[tuple[int, int], bytes]:
     return {(int(r), int(s)): b for r, s, b in zip(own["row"], own["slice"], own["bits"])}
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cell_bits: int = CELL_BITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cell_bits: int = CELL_BITS, block_bytes: int = BLOCK_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per row of docs: id_col, n_words, n_removed and kept (the words that stay, joined by one space)."""
     small_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    slices = shuffle_width(spark)
+    bytes_in = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")).cast("bigint"))).first()[0] or 0
+    slices, keys = -(-bytes_in // slice_bytes) or 1, (draw_key(), draw_key())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 32
-        for seq, (ids, texts) in enumerate(_blocks(batches, block_bytes)):
-            rows = [(0, base + seq, 0, 0, _pack(ids, texts))]
-            block = Block(ids, texts, window, cell_bits)
+        for seq, own in enumerate(_blocks(batches, block_bytes)):
+            rows = [(0, base + seq, 0, 0, _pack(*own))]
+            block = Block(*own, window, keys, cell_bits)
             for row in range(DEPTH):
                 cells, counts = block.sketch(row, slices)
                 part = cells >> np.uint64(cell_bits)
@@ -205,7 +214,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def repeated(text: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
         out = {"block": [], "slice": [], "data": []}
         for number, data in zip(text["block"], text["data"]):
-            block = Block(*_unpack(data), window, cell_bits)
+            block = Block(*_unpack(data), window, keys, cell_bits)
             part, h1, h2, doc, _ = block.entries(block.estimated_repeated(_masks(masks, 0), slices), slices)
             starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]).tolist()
             for a, b in zip(starts, [*starts[1:], len(part)]):
@@ -214,7 +223,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out["block"].append(number)
                 out["slice"].append(int(part[a]))
                 first = _planes(_gaps(h1[a:b]), 8)
-                out["data"].append(np.array([b - a, low, len(first)], "<i8").tobytes() + first + h2[a:b].tobytes() + ids)
+                out["data"].append(np.array([b - a, low, len(first)], "<i8").tobytes() + first + h2[a:b].astype("<u8").tobytes() + ids)
         return pd.DataFrame(out)
 
     def exact(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -222,8 +231,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for data in rows["data"]:
             n, low, size = np.frombuffer(data, "<i8", 3).tolist()
             at = 24 + size
-            ids = _unplanes(data[at + 4 * n :], 8).view(np.int64) + low
-            parts.append((np.cumsum(_unplanes(data[24:at], 8), dtype=np.uint64), np.frombuffer(data, "<u4", n, at), ids))
+            ids = _unplanes(data[at + 8 * n :], 8).view(np.int64) + low
+            parts.append((np.cumsum(_unplanes(data[24:at], 8), dtype=np.uint64), np.frombuffer(data, "<u8", n, at), ids))
         h1, h2, doc = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order = np.lexsort((h2, h1))
         new = np.append(True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]))[: len(order)]
@@ -240,14 +249,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def finish(text: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
         out = {id_col: [], "n_words": [], "n_removed": [], "kept": []}
         for data in text["data"]:
-            block = Block(*_unpack(data), window, cell_bits)
+            block = Block(*_unpack(data), window, keys, cell_bits)
             wanted = block.estimated_repeated(_masks(masks, 0), slices)
             part, _, _, least, number = block.entries(wanted, slices)
             elsewhere = _unmask(part, _masks(masks, 1), 0)
             gone = elsewhere[number] | (block.doc[wanted] > least[number])
             _keep(block, block.at[wanted][gone], out)
-        ids = pd.array([None if i == NO_ID else i for i in out[id_col]], "Int64")
-        return pd.DataFrame(out | {id_col: ids})
+        return pd.DataFrame(out | {id_col: pd.array(out[id_col], "Int64")})
 
     both = sketched.unionByName(settled)
     schema = T.StructType([
@@ -269,4 +277,4 @@ def _keep(block: Block, starts: np.ndarray, out: dict[str, list]) -> None:
         out["n_removed"].append(int(b - a - own.sum()))
         kept = [words.data[s:e] for s, e in zip(words.starts[a:b][own].tolist(), words.ends[a:b][own].tolist())]
         out["kept"].append(b" ".join(kept).decode("utf-8", "replace"))
-        out[next(iter(out))].append(int(block.ids[i]))
+        out[next(iter(out))].append(int(block.ids[i]) if block.known[i] else None)
