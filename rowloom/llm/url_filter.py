@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ascii_lower, scratch
+from ._shared import ascii_lower, fresh, scratch
 
 PREFIX_HEX = 8  # 32 bits of the digest travel as the join key
 
@@ -32,17 +32,15 @@ def _sql(column: Column) -> str:
     return column._jc.toString()
 
 
-def host_suffixes(host: Column) -> Column:
-    """example of a.b.c: a.b.c, b.c, c."""
+def host_suffixes(host: Column, most: int) -> Column:
+    """Suffixes of up to `most` labels, of a.b.c: c, b.c, a.b.c."""
     labels = F.split(host, r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
+    return F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most))), lambda n: F.array_join(F.slice(labels, -n, n), "."))
 
 
-def path_prefixes(path: Column) -> Column:
-    """Prefixes that end at a `/`, and the empty one: of /en/a they are '', / and /en/."""
-    parts = F.split(path, "/")
+def path_prefixes(path: Column, most: int) -> Column:
+    """Prefixes that end at one of the first `most` slashes, and the empty one: of /en/a they are '', / and /en/."""
+    parts = F.split(path, "/", most + 1)
     return F.transform(
         F.sequence(F.lit(0), F.size(parts) - 1),
         lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))),
@@ -58,14 +56,21 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
 
     rules: columns host, path, verdict. Rules are copied `salts` times and each expression takes one copy, so
     an expression that fits a third of all urls is spread over that many tasks. The rules' side is broadcast only
-    if Spark's own size check allows it.
+    if Spark's own size check allows it. Urls are expanded as far as the rules go: to as many labels and slashes as
+    any rule has, since longer expressions fit none.
     """
     host, path = split_url(F.col(f"`{url}`"))
     rows = pages.withColumn("host", host).withColumn("path", path)
     distinct = rows.select("host", "path").filter(F.col("host") != "").distinct()
+    clean = rules.select(
+        ascii_lower(F.coalesce("host", F.lit(""))).alias("rule_host"),
+        F.coalesce("path", F.lit("")).alias("rule_path"),
+        F.col("verdict").alias("rule_verdict"),
+    ).filter("rule_host <> '' and rule_verdict is not null")
+    labels, slashes = clean.agg(F.max(F.size(F.split("rule_host", r"\."))), F.max(F.size(F.split("rule_path", "/")) - 1)).first()
     expanded = (
-        distinct.withColumn("suffix", F.explode(host_suffixes(F.col("host"))))
-        .withColumn("prefix", F.explode(path_prefixes(F.col("path"))))
+        distinct.withColumn("suffix", F.explode(host_suffixes(F.col("host"), labels or 1)))
+        .withColumn("prefix", F.explode(path_prefixes(F.col("path"), slashes or 0)))
         .withColumn("digest", _digest(F.col("suffix"), F.col("prefix")))
         .select(
             "host", "path", "digest",
@@ -73,11 +78,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
             F.pmod(F.xxhash64("host", "path"), F.lit(salts)).cast("int").alias("salt"),
         )
     )
-    clean = rules.select(
-        ascii_lower(F.coalesce("host", F.lit(""))).alias("rule_host"),
-        F.coalesce("path", F.lit("")).alias("rule_path"),
-        F.col("verdict").alias("rule_verdict"),
-    ).filter("rule_host <> '' and rule_verdict is not null")
     stored = (
         clean.withColumn("rule_digest", _digest(F.col("rule_host"), F.regexp_extract("rule_path", r"^(.*/)?", 0)))
         .withColumn("key", F.substring("rule_digest", 1, PREFIX_HEX))
@@ -100,9 +100,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     # Without the hint Spark would judge by the size of the compressed files and broadcast many times that.
     found = scratch(best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict")), "url-found")
     kept = [c for c in rows.columns if c not in ("rule", "verdict")]
+    own, at = fresh(rows, "_host"), fresh(rows, "_path")
+    # Rows without a host fit no rule: they get keys that no host has, so that they don't all go to one task.
+    spread = F.concat(F.lit("/"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 16)).cast("string"))
+    keyed = rows.select(*[f"`{c}`" for c in kept]).withColumn(own, F.when(F.col("host") != "", F.col("host")).otherwise(spread))
+    judged = found.select(F.col("host").alias(own), F.col("path").alias(at), "rule", "verdict").hint("merge")
     return (
-        rows.select(*[f"`{c}`" for c in kept])
-        .join(found.hint("merge"), ["host", "path"], "left")
-        .withColumn("verdict", F.coalesce("verdict", F.lit(default)))
-        .select(*[f"`{c}`" for c in kept], "rule", "verdict")
+        keyed.join(judged, (keyed[own] == judged[own]) & (keyed["path"] == judged[at]), "left")
+        .select(*[keyed[f"`{c}`"] for c in kept], "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
     )
