@@ -2,12 +2,12 @@
 
 Matches are found by one pattern, validated by the rules of their kind (Luhn, IBAN modulo 97, calendar, octet range, issued
 number ranges), and replaced. Numbers and dates go through a keyed Feistel network over exactly the set of valid values
-of their format, so a pseudonym is valid too, equal values get equal pseudonyms in every document, and the key's holder can
+of their format (dates by walking on from numbers that are no day), so a pseudonym is valid too, equal values get equal pseudonyms in every document, and the key's holder can
 undo it. A round adds a keyed SHA-256 value to one half modulo that half's size, so any product of two sizes is
 permuted without leaving it. The local part of an e-mail address has no fixed format and gets a keyed digest.
 
 Defined results: a null text stays null, text outside matches stays byte for byte, what fails validation stays;
-repeated rows get equal results; an empty table gives an empty result. Matches are looked for only in texts
+repeated rows get equal results; an empty table gives an empty result; an empty key is refused. Matches are looked for only in texts
 that hold a digit or an @, which every kind needs.
 """
 
@@ -20,7 +20,8 @@ from ._shared import fresh
 
 ROUNDS = 10
 KINDS = ("email", "card", "iban", "phone", "ip", "ssn", "date")
-FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 319, 229  # 319 * 229 days: 1900-01-01 to 2099-12-31, less none
+FIRST_DAY, DAYS = "1900-01-01", 73_049  # to 2099-12-31
+DAYS_A, DAYS_B = 319, 229  # the network's halves: two numbers more than there are days, and those are walked past
 
 # Fixed formats, as regular expressions. Each begins where no letter or digit stands before it, and has bounded repeats.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
@@ -269,8 +270,13 @@ def new_date(text: Column, key: str) -> Column:
 
     def build(p: Column) -> Column:
         number = F.datediff(F.make_date(p["y"], p["m"], p["d"]), F.lit(FIRST_DAY).cast("date")).cast("bigint")
-        out = feistel(F.floor(number / DAYS_B), number % DAYS_B, (DAYS_A, DAYS_B), key, "date")
-        day = _bind(out, lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), (x["l"] * DAYS_B + x["r"]).cast("int")))
+
+        def walk(now: Column, turn: Column) -> Column:  # once, and on from numbers that are no day
+            out = feistel(F.floor(now / DAYS_B), now % DAYS_B, (DAYS_A, DAYS_B), key, "date")
+            return F.when((turn == 0) | (now >= DAYS), _bind(out, lambda x: x["l"] * DAYS_B + x["r"])).otherwise(now)
+
+        walked = F.aggregate(F.sequence(F.lit(0), F.lit(DAYS_A * DAYS_B - DAYS)), number, walk)
+        day = _bind(walked, lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int")))
         sep = F.regexp_extract(text, r"[-/.]", 0)
 
         def show(d: Column) -> Column:
@@ -322,6 +328,8 @@ def pseudonym(match: Column, kind: Column, key: str) -> Column:
 def pseudonymise(df: DataFrame, key: str, text: str = "text", found: str | None = "pii") -> DataFrame:
     """df with personal data in its text replaced, and if `found` is a name, a column of struct(kind, pseudonym) of
     each replaced value in order. Columns of these names are replaced, others stay."""
+    if not key:
+        raise ValueError("pseudonyms need a key: whoever has it can undo them")
     column = F.col(f"`{text}`")
     swaps = F.transform(
         F.transform(F.regexp_extract_all(column, F.lit(ANY), 0), lambda m: F.struct(m.alias("match"), classify(m).alias("kind"))),
