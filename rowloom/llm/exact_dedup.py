@@ -194,9 +194,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without exact copies, columns unchanged. Rows that share id and text stay once."""
     sha, own, same = (fresh(docs, n) for n in ("_sha", "_id", "_kept"))
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(f"`{id_col}`").alias(own), F.col("text_sha256").alias(same))
+    groups = exact_groups(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias(own), "group_size", "kept", F.col("text_sha256").alias(same))
+    groups = scratch(groups, "exact-groups")
     tagged = docs.withColumn(sha, F.sha2(normalise(F.col(f"`{text_col}`")), 256))
+    kept = groups.filter("kept").select(own, same)
     once = tagged.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.col(sha) == F.col(same)), "left_semi")
-    if not tagged.groupBy(f"`{id_col}`", sha).count().filter("count > 1").isEmpty():
+    if not groups.filter("group_size > 1").groupBy(own, same).count().filter("count > 1").isEmpty():  # only these can be repeated rows
         once = once.dropDuplicates([id_col, sha])
     return once.drop(sha)
