@@ -26,9 +26,10 @@ from ._shared import scratch
 SAMPLE = 4096  # rows that the graph and the classifier are fitted on
 GRAPH_DEGREE = 16
 ROWS_PER_PART = 4096
-PARTS = (16, 256)  # least and most
+PARTS = (16, 512)  # least and most; the sample bounds them to one for eight of its rows, so that parts grow with more than 2 million rows
 RECALL = 0.97  # wanted on the sample
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+BLOCK_BYTES = 16 << 20  # of rows, and of queries, that are compared at once
+SHARE = 1 << 22  # products in memory at once
 
 
 @dataclass(frozen=True)
@@ -131,10 +132,12 @@ def top_pairs(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows:
     """(query id, id, score) of the k best rows of one block for each query. A fast product gives a shortlist with room for
     rounding; its scores are then summed in one order, so that equal vectors get equal scores wherever they are."""
     out_q, out_id, out_score = [], [], []
-    product = queries @ rows.T
-    slack = 1e-9 * (1 + np.abs(product).max(initial=0))
+    step = max(1, SHARE // max(1, len(rows)))
     for i, qid in enumerate(query_ids):
-        row = product[i]
+        if i % step == 0:
+            product = queries[i : i + step] @ rows.T
+            slack = 1e-9 * (1 + np.abs(product).max(initial=0))
+        row = product[i % step]
         own = ids == qid
         if own.any():
             row = np.where(own, -np.inf, row)
@@ -169,7 +172,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     dim, total = sizes[0]
     rows = rows.filter(F.size("v") == dim)
     parts = int(np.clip(round(total / ROWS_PER_PART), *PARTS))
-    drawn = rows.select("v").withColumn("h", F.xxhash64("v")).dropDuplicates(["h"]).orderBy("h").limit(SAMPLE).collect()  # copies count once
+    hashed = rows.select("v").withColumn("h", F.xxhash64("v"))
+    last = hashed.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]  # hashes first, so that few vectors are shuffled
+    drawn = hashed.filter(F.col("h") <= last).dropDuplicates(["h"]).orderBy("h").collect()  # copies count once: SAMPLE rows at most
     sample = np.array([r.v for r in drawn], np.float64)
     router = fit_router(sample, min(parts, max(1, len(sample) // 8)), wanted=wanted)
     probes = router.probes
@@ -203,7 +208,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             return F.lit(1)
         return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in many.items() for x in pair]), F.col("part")), F.lit(1))
 
-    row_blocks, ask_blocks = blocks(n_rows, BLOCK_ROWS), blocks(n_asked, BLOCK_QUERIES)
+    size = max(1, BLOCK_BYTES // (8 * dim))
+    row_blocks, ask_blocks = blocks(n_rows, size), blocks(n_asked, size)
     left = (
         table.select("id", "v", "part", F.pmod("slot", row_blocks).cast("int").alias("rb"), ask_blocks.alias("qn"))
         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)))
