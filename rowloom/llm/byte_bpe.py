@@ -17,6 +17,7 @@ import json
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from ._shared import small_batches
 
 MAX_STATES = 150_000
 MAX_WORDS = 100_000
+LONG_TEXT = 1 << 18  # characters
 KEY, FINAL = "key", "final"
 _ALONE = ((0, ()),)  # the live ends of a state that waits for nothing
 
@@ -43,6 +45,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def special_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizers .json file, by their text."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in byte-level vocabularies: itself if printable in Latin-1, else from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -188,12 +196,18 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         import regex
 
-        self.split = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.split, self.matches = compiled.findall, compiled.finditer
         self.machine = Transducer(load_ranks(path))
         self.words = _Words(self.machine, MAX_WORDS)
 
     def encode_raw(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.split(text)))
+        if len(text) <= LONG_TEXT:
+            return b"".join(map(self.words.__getitem__, self.split(text)))
+        out, matches = bytearray(), self.matches(text)  # a long text's words never lie in memory all at once
+        while words := [m[0] for m in islice(matches, 1 << 14)]:
+            out += b"".join(map(self.words.__getitem__, words))
+        return bytes(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_raw(text), dtype="<i4").tolist()
