@@ -20,11 +20,13 @@ def scratch(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Let at most `rows` rows go to Python at once from now on: whole texts are long, and 10,000 of them fill a worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
+    """Let at most `rows` rows, or `size` bytes of several rows, go to Python at once from now on: whole texts are long, and 10,000 of
+    them fill a worker. The setting is the session's, since plans read it when they run."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(name).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def fresh(df: DataFrame, name: str) -> str:

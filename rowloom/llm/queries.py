@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ URL_RULES = (
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 )
-PII_KEY_CONF = "spark.rowloom.pii.key"  # set it to a secret of your own
+PII_KEY_CONF = "spark.rowloom.pii.key"  # set it to a secret of your own: without it, each session draws a key that nobody else has
 
 
 def tokenizer_file(name: str) -> str:
@@ -37,7 +38,11 @@ def split_pattern() -> str:
 
 
 def pii_key(spark: SparkSession) -> str:
-    return spark.conf.get(PII_KEY_CONF, "rowloom")
+    """The session's key. One that is drawn stays in the session's settings, so that its pseudonyms are linked and can be undone there."""
+    if not (key := spark.conf.get(PII_KEY_CONF, "")):
+        key = secrets.token_hex(32)
+        spark.conf.set(PII_KEY_CONF, key)
+    return key
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +102,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    held_out = language_id.fold_number(F.col("doc_id")) == 1
-    samples = language_id.learn(docs.filter(~held_out))
+    held_out = F.coalesce(language_id.fold_number(F.col("doc_id")) == 1, F.lit(False))
+    samples = language_id.learn(docs.filter(~held_out & F.col("doc_id").isNotNull()))
     return language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), samples).select("doc_id", "held_out", "lang_pred", "score")
 
 
@@ -145,6 +150,17 @@ ORACLE_SQL: dict[str, str] = {
               FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.at = g.at GROUP BY p.doc_id)
         SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN o ON w.doc_id = o.doc_id""",
+    "op7_minhash_near_dedup": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS k
+              FROM w, unnest(range(1, CASE WHEN len(words) = 0 THEN 1 ELSE greatest(len(words) - 2, 2) END)) AS t(i)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s AS a JOIN s AS b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+        g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r(doc_id, near) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, g.b FROM r JOIN g ON r.near = g.a)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.near) AS component_id, min(r.near) = d.doc_id AS kept
+        FROM documents AS d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
     "op5_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256

@@ -195,13 +195,63 @@ def test_word_hashes():
     texts = ["a b  c\td", "", None, "x" * 3_000_000 + " y", "Ab c d", " a b"]
     w = Words([None if t is None else t.encode() for t in texts], lower=True)
     words = [x for t in texts for x in WORD.findall((t or "").translate(LOWER))]
-    h = w.hashes()
+    h, other = w.hashes(1), w.hashes(2)
+    assert not set(h.tolist()) & set(other.tolist())
     assert len(h) == len(words) and len(set(h.tolist())) == len(set(words))
     assert {x: y for x, y in zip(words, h)} == dict(zip(words, h)) and h[0] == h[words.index("a", 1)]
     runs = w.runs(2)
     assert len(runs) == 3 + 0 + 1 + 2 + 1 and len(run_hashes(h, runs, 2)) == 7
 
 
+@quick
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "ab", "x" * 63 + "é", "y" * 200, "z" * 8, "z" * 9]), max_size=30), max_size=4), st.integers(1, 13))
+def test_run_hashes_tell_runs_apart(texts, n):
+    w = Words([" ".join(t).encode() for t in texts])
+    at = w.runs(n)
+    got = run_hashes(w.hashes(5), at, n).tolist() if len(at) else []
+    want = [tuple(t[i : i + n]) for t in texts for i in range(len(t) - n + 1)]
+    assert len(got) == len(want) and len(set(got)) == len(set(want)) == len(set(zip(got, want)))
+
+
+def thue_morse(letters):
+    a, b = "ab"
+    while len(a) < letters:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_made_to_collide_stay_apart(spark):
+    a, b = thue_morse(1024)  # one hash by any polynomial modulo 2**64
+    fill = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join([*fill[:30], a, *fill[30:]])), (2, " ".join([*fill[:30], b, *fill[30:]])), (9, " ".join([a] * 70)), (10, " ".join([b] * 70))]
+    one, two = thue_morse(1024)  # as sequences of words
+    rows += [(20, " ".join(one)), (21, " ".join(two))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: tuple(r[1:]) for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == brute_windows(rows, 50) and got[2][1] == got[10][1] == 0
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(df, size=4).collect()}
+    assert near == brute_components(rows, 4, 80) and near[9][1] == 9 and near[10][1] == 10
+
+
+def test_passages_with_extreme_ids(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(2**63 - 1, words), (-(2**63), words), (0, words), (None, words)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2**63 - 1: (60, 60), -(2**63): (60, 0), 0: (60, 60), None: (60, 0)}
+
+
+def test_bands_meet_as_independent_samples_would():
+    """The share of samples that agree, and the spread of the number of common bands, of pairs at a similarity of 0.8."""
+    rng, common, agree = np.random.default_rng(6), [], []
+    for _ in range(300):
+        both = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
+        a, b = (near_dedup.minhashes(np.concatenate([both, rng.integers(0, 1 << 62, 50, dtype=np.uint64)])) for _ in range(2))
+        agree.append((a == b).mean())
+        common.append((near_dedup.band_keys(a) == near_dedup.band_keys(b)).sum())
+    p = 0.8**near_dedup.ROWS
+    assert abs(np.mean(agree) - 0.8) < 0.01 and abs(np.mean(common) - near_dedup.BANDS * p) < 0.7
+    assert np.var(common) < 1.35 * near_dedup.BANDS * p * (1 - p) and min(common) > 2
+
 # --- near copies ----------------------------------------------------------------------------------------------------
 
 
