@@ -14,28 +14,33 @@ from rowloom.llm._shared import scratch, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of no language: those without text or without a letter. All others stay, whatever their language."""
+    """Rejects documents of no language: those without text or without a letter. All others stay, with the language that the
+    automata find as their lang, whatever it is; labels only teach. Null ids, repeated rows and an empty table are as any others; without
+    any labelled row nothing can be told, and lang stays as it is."""
     samples = language_id.learn(docs)
-    if not samples:  # nothing is labelled, and identify() would tell no text from another
+    if not samples:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    judged = language_id.identify(docs, samples)
-    return judged.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    judged = language_id.identify(docs, samples).filter(F.col("lang_pred") != language_id.UNDETERMINED)
+    return judged.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z lower-cased) the row with the largest id stays; of repeated rows one; null ids are smaller than all others."""
     return exact_dedup.dedup(docs).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, at five-word shingles and a similarity of 0.8."""
+    """One document of each group, at five-word shingles and a similarity of 0.8: the one with the smallest id. Rows with a null id stay."""
     return near_dedup.dedup(docs).select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by pseudonyms under the session's key, n_chars counted anew (null for a null text)."""
     return pii.pseudonymise(docs, queries.pii_key(spark), found=None).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece, as op6_best_fit_packing gives it. A null text is one piece of the end id."""
     return queries.packed(docs.select("doc_id", "text"))
 
 
