@@ -2,7 +2,7 @@
 
 Only the number of pieces of each length matters for the plan, at most `capacity` numbers whatever the input. From the
 longest length down, the gap that a piece leaves is looked up among single lengths, pair sums and triple sums that
-are still available, and as many whole combinations as the counts allow are consumed at once. What is
+are still available, and as many whole combinations as the counts allow are consumed at once; there is one plan, in which all three take part. What is
 left is placed by best fit, decreasing, for all sequences with the same gap together. The plan maps ranges of ranks within
 a length to sequences; pieces get their ranks from counts per (length, bucket), so no length makes a hot task.
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from ._shared import fresh, scratch, shuffle_width, small_batches
 
 CAPACITY = 1024
 END_ID = 2
+BATCH_IDS = 1 << 18  # ids that a task gives back at once
 
 
 # --- the plan -----------------------------------------------------------------------------------------------------
@@ -33,59 +34,49 @@ END_ID = 2
 
 def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths that share a sequence, number of such sequences), using each length exactly as often as counts say.
-    Triples and quadruples use up small lengths that best fit may need more, so the plan that indexes single sums only, the one
-    with pair sums and the one with triple sums are made, and the one with fewest sequences is taken."""
-    return min((_plan(counts, capacity, most) for most in (4, 3, 2)), key=lambda plan: sum(n for _, n in plan))
 
-
-def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
-    """most: pieces in a combination that fills a sequence exactly."""
+    From the longest length down, its gap is filled by a single length, then by pair sums, then by triple sums, the most even
+    ones first, since small lengths fill what best fit leaves open. Of every length one piece is spared from pairs and triples, so that
+    best fit finds all lengths.
+    """
     have = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         have[length] = n
     made: list[tuple[tuple[int, ...], int]] = []
 
-    def consume(pattern: tuple[int, ...]) -> None:
-        each = {x: pattern.count(x) for x in pattern}
-        n = int(min(have[x] // k for x, k in each.items()))
-        if n:
-            for x, k in each.items():
-                have[x] -= n * k
+    def consume(longest: int, rest: tuple[int, ...], spared: int) -> None:
+        pattern = (longest, *rest)
+        n = int(min((have[x] - (spared if x in rest else 0)) // pattern.count(x) for x in set(pattern)))
+        if n > 0:
+            for x in pattern:
+                have[x] -= n
             made.append((pattern, n))
 
     def pairs(total: int, largest: int) -> list[int]:
-        """The larger halves x of available pairs (x, total - x), largest first."""
-        low, high = (total + 1) // 2, min(largest, total - 1)
-        if high < low:
-            return []
-        x = np.arange(high, low - 1, -1)
-        ok = (have[x] > 0) & (have[total - x] > np.where(2 * x == total, 1, 0))
-        return x[ok].tolist()
-
-    consume((capacity,))
-    for size in range(2, most + 1):
-        for a in range(capacity - 1, 0, -1):
-            gap = capacity - a
-            if not have[a] or a * size < capacity:
-                continue
-            if size == 2:
-                if gap <= a:
-                    consume((a, gap))
-            elif size == 3:
-                for x in pairs(gap, a):
-                    consume((a, x, gap - x))
-                    if not have[a]:
-                        break
-            else:
-                for b in np.flatnonzero(have[: min(a, gap - 2) + 1])[::-1].tolist():
-                    if 3 * b < gap:
-                        break
-                    for x in pairs(gap - b, b):
-                        consume((a, b, x, gap - b - x))
-                        if not have[a] or not have[b]:
-                            break
-                    if not have[a]:
+        """The larger halves x of available pairs (x, total - x), the most even first."""
+        x = np.arange((total + 1) // 2, min(largest, total - 1) + 1)
+        return x[(have[x] > 1) & (have[total - x] > np.where(2 * x == total, 2, 1))].tolist()
+
+    consume(capacity, (), 0)
+    for a in range(capacity - 1, 0, -1):
+        gap = capacity - a
+        if have[a] and gap <= a:
+            consume(a, (gap,), 0)
+        if have[a] and gap <= 2 * a:
+            for x in pairs(gap, a):
+                consume(a, (x, gap - x), 1)
+                if not have[a]:
+                    break
+        if have[a] and gap <= 3 * a:
+            for b in np.flatnonzero(have[: min(a, gap - 2) + 1] > 1).tolist():
+                if 3 * b < gap:
+                    continue
+                for x in pairs(gap - b, b):
+                    consume(a, (b, x, gap - b - x), 1)
+                    if not have[a] or have[b] < 2:
                         break
+                if not have[a]:
+                    break
     open_bins: dict[int, dict[tuple[int, ...], int]] = defaultdict(lambda: defaultdict(int))  # by gap
     for length in range(capacity, 0, -1):
         left = int(have[length])
@@ -160,53 +151,71 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", o
 # --- tokens -------------------------------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str, pattern: str):
-    """Encodes whole texts as the library tokenizers does with the same file: special strings by that library, the rest,
-    which has the same ids, by the faster tiktoken over the file's own vocabulary."""
-    import tiktoken
-    from tokenizers import Tokenizer
+class _Tokenizer:
+    """Ids of whole texts as the library tokenizers gives them with the same file: texts with a special string by that library, which is
+    loaded only when such a text comes, the rest, which has the same ids, by the faster tiktoken over the file's own vocabulary."""
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
 
-    from .byte_bpe import load_ranks
+        from .byte_bpe import load_ranks, special_tokens
 
-    full = Tokenizer.from_file(path)
-    special = {t.content for t in full.get_added_tokens_decoder().values()}
-    ranks = {t: i for t, i in load_ranks(path).items() if t.decode("utf-8", "replace") not in special}
-    fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.path, self.special = path, special_tokens(path)
+        ranks = {t: i for t, i in load_ranks(path).items() if i not in self.special.values()}
+        self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(text: str) -> list[int]:
-        if any(s in text for s in special):
-            return full.encode(text, add_special_tokens=False).ids
-        return fast.encode_ordinary(text)
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
 
-    return encode
+        return Tokenizer.from_file(self.path)
+
+    def ids(self, text: str) -> np.ndarray:
+        """Straight into an array, without a list of ints."""
+        if any(s in text for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str, pattern: str) -> _Tokenizer:
+    return _Tokenizer(path, pattern)
 
 
 def tokenize_pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most `capacity` ids of each document, end id included: doc_id, piece, start, length and
-    ids (little-endian unsigned 32-bit). Only the first piece of a document may be shorter than the others."""
+    ids (little-endian unsigned 32-bit). Only the first piece of a document may be shorter than the others. A worker holds
+    one text and its ids, and about BATCH_IDS ids of pieces."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(path, pattern)
+        tokenizer = _tokenizer(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                rows, piece, start, length, ids = [], [], [], [], []
-                for i in range(part.num_rows):
-                    own = np.array([*encode(part.column(1)[i].as_py() or ""), end_id], "<u4")
-                    cuts = [0, *range(len(own) % capacity or capacity, len(own) + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                        rows.append(i)
-                        piece.append(k)
-                        start.append(a)
-                        length.append(b - a)
-                        ids.append(own[a:b].tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
+            rows, piece, start, length, ids, held = [], [], [], [], [], 0
+
+            def made() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                     [id_col, "piece", "start", "length", "ids"],
                 )
 
+            for i in range(batch.num_rows):
+                own = np.append(tokenizer.ids(batch.column(1)[i].as_py() or ""), np.uint32(end_id)).astype("<u4", copy=False)
+                cuts = range(len(own) % capacity or capacity, len(own) + 1, capacity)
+                for k, b in enumerate(cuts):
+                    a = max(0, b - capacity)
+                    rows.append(i)
+                    piece.append(k)
+                    start.append(a)
+                    length.append(b - a)
+                    ids.append(own[a:b].tobytes())
+                    held += b - a
+                    if held >= BATCH_IDS:
+                        yield made()
+                        rows, piece, start, length, ids, held = [], [], [], [], [], 0
+            if rows:
+                yield made()
+
     schema = T.StructType([
         T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
         T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()),
