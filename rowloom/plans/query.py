@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 import re
+import time
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, replace
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,9 +17,11 @@ from ..functions.results import ResultRow
 from ..operators import conditions as C
 from ..operators.aggregates import aggregate as make_aggregate
 from ..sources.delimited import ROW_ID
-from ..sources.table import Table
+from ..sources.table import ORDER, Table
 from ..streaming import rows as streams
 
+log = logging.getLogger("rowloom")
+
 
 @dataclass(frozen=True)
 class Query:
@@ -32,6 +37,7 @@ class Query:
     plain: bool = False
     rule: str = "loose"
     debugging: bool = False
+    lines: bool = False
 
     # --- building ------------------------------------------------------------------------------------------------
 
@@ -95,8 +101,13 @@ class Query:
         return replace(self, rule=rule)
 
     def debug(self, on: bool = True) -> Query:
+        """Log the query's text and access path, as information of the logger `rowloom`, whenever it is lowered."""
         return replace(self, debugging=on)
 
+    def with_lines(self, on: bool = True) -> Query:
+        """Result rows know their line: the number of the row in delimited text, from 1, or the identity of a Parquet row."""
+        return replace(self, lines=on)
+
     # --- lowering ------------------------------------------------------------------------------------------------
 
     def used_columns(self) -> list[str]:
@@ -106,21 +117,24 @@ class Query:
     def validate(self) -> None:
         self.table.check(self.used_columns())
 
-    def access_path(self) -> tuple[str, float] | None:
+    def access_path(self) -> str | None:
         """The index to read instead of the table, if one fits and is up to date."""
-        equal = C.equalities(self.condition)
-        if not equal or self.table.changed or not self.table.meta()["indexes"] or not self.table.validate_integrity():
+        equal, indexes = C.equalities(self.condition), self.table.indexes
+        if not equal or self.table.changed or not indexes.meta()["indexes"] or not indexes.fresh():
             return None
-        return self.table.indexes.choose(equal)
+        return indexes.choose(equal)
 
-    def _filtered(self, row_id: bool = False) -> DataFrame:
+    def _filtered(self, row_id: bool = False, order: bool = False, any_order: bool = False) -> DataFrame:
         self.validate()
-        table = self.table
-        if path := self.access_path():
-            df = table._with_virtual(table.indexes.read(path[0]), table._state())
+        table, path = self.table, self.access_path()
+        if self.debugging:
+            log.info("%s | %s", self.sql(), f"index {path}" if path else "table")
+        if path:
+            df = table._with_virtual(table.indexes.read(path, C.equalities(self.condition)), table._state())
+            df = df.withColumn(ORDER, F.col(ROW_ID)) if order else df
             df = df if row_id else df.drop(ROW_ID)
         else:
-            df = table.frame(row_id)
+            df = table.frame(row_id, order, any_order)
         if self.condition is not None:
             df = df.filter(C.to_column(self.condition, table.schema, self.rule))
         return df.filter(F.expr(self.sql_condition)) if self.sql_condition else df
@@ -129,17 +143,19 @@ class Query:
         return [F.col(f"`{c}`").desc() if down else F.col(f"`{c}`").asc() for c, down in self.order]
 
     def frame(self) -> DataFrame:
-        """The result as a lazy DataFrame. Limits without an order are in the order of the rows' identity; with groups,
-        the first row of each group in that order comes out."""
+        """The result as a lazy DataFrame. With an order, a limit takes equal rows in the order of the files; with groups, the
+        first row of each group in the given order and then that of the files comes out. Without either, a limit stops as soon as it
+        has its rows: the first ones of the files in the order Spark reads them if the frame is collected, any rows if it goes on to
+        other operators, as with SQL's LIMIT."""
         cut = self.most is not None or self.skip > 0
-        by_id = not self.order and (cut or bool(self.groups)) or (cut and bool(self.order))
-        df = self._filtered(row_id=by_id)
-        names = list(self.columns) or [c for c in df.columns if c != ROW_ID]
+        placed = bool(self.groups) or (cut and bool(self.order))
+        df = self._filtered(row_id=self.lines, order=placed)
+        names = list(self.columns) or [c for c in df.columns if c not in (ROW_ID, ORDER)]
+        names += [ROW_ID] if self.lines else []
         if self.groups:
             df = self._first_of_groups(df, names)
-        sorting = self._sorting() + ([F.col(ROW_ID)] if by_id else [])
-        if cut or self.order:
-            df = df.orderBy(*sorting)
+        if self.order or (cut and placed):
+            df = df.orderBy(*self._sorting(), *([F.col(ORDER)] if placed else []))
         if self.skip:
             df = df.offset(self.skip)
         if self.most is not None:
@@ -149,12 +165,12 @@ class Query:
     def _first_of_groups(self, df: DataFrame, names: list[str]) -> DataFrame:
         """By an aggregation, so that each task sends one row per group; only an order that goes down needs a window, which keeps
         one row per group and task as well before it shuffles."""
-        keep = list(dict.fromkeys([*names, *(c for c, _ in self.order), *([ROW_ID] if ROW_ID in df.columns else [])]))
-        groups, by_id = [F.col(f"`{g}`") for g in self.groups], [F.col(ROW_ID)] if ROW_ID in df.columns else []
+        keep = list(dict.fromkeys([*names, *(c for c, _ in self.order), ORDER]))
+        groups = [F.col(f"`{g}`") for g in self.groups]
         if any(down for _, down in self.order):
-            place = F.row_number().over(Window.partitionBy(*groups).orderBy(*self._sorting(), *by_id))
+            place = F.row_number().over(Window.partitionBy(*groups).orderBy(*self._sorting(), ORDER))
             return df.withColumn("_place", place).filter("_place = 1").select(*[f"`{c}`" for c in keep])
-        place = F.struct(*[F.col(f"`{c}`") for c, _ in self.order], *by_id)
+        place = F.struct(*[F.col(f"`{c}`") for c, _ in self.order], ORDER)
         first = df.groupBy(*[g.alias(f"_g{i}") for i, g in enumerate(groups)]).agg(F.min_by(F.struct(*[f"`{c}`" for c in keep]), place).alias("_row"))
         return first.select("_row.*")
 
@@ -162,7 +178,8 @@ class Query:
 
     def _wrap(self, row) -> Any:
         values = row.asDict()
-        return values if self.plain else ResultRow(values)
+        line = values.pop(ROW_ID) if self.lines else None
+        return values if self.plain else ResultRow(values, line)
 
     def all(self) -> Any:
         rows = [self._wrap(r) for r in self.frame().collect()]
@@ -173,13 +190,13 @@ class Query:
 
     def keyed(self, column: str) -> DataFrame:
         """One row per value of a column: the last in the order of the query, or of the rows' identity."""
-        df = self._filtered(row_id=not self.order)
-        names = list(self.columns) or [c for c in df.columns if c != ROW_ID]
+        df = self._filtered(order=not self.order)
+        names = list(self.columns) or [c for c in df.columns if c != ORDER]
         if any(down for _, down in self.order):
             turned = [F.col(f"`{c}`").asc() if down else F.col(f"`{c}`").desc() for c, down in self.order]
             last = F.row_number().over(Window.partitionBy(f"`{column}`").orderBy(*turned))
             return df.withColumn("_place", last).filter("_place = 1").select(*[f"`{c}`" for c in names])
-        place = F.struct(*[F.col(f"`{c}`") for c, _ in self.order] or [F.col(ROW_ID)])
+        place = F.struct(*[F.col(f"`{c}`") for c, _ in self.order] or [F.col(ORDER)])
         return df.groupBy(F.col(f"`{column}`").alias("_key")).agg(F.max_by(F.struct(*[f"`{c}`" for c in names]), place).alias("_row")).select("_row.*")
 
     def one(self) -> Any:
@@ -187,7 +204,7 @@ class Query:
         return self._wrap(found[0]) if found else None
 
     def scalar(self) -> Any:
-        found = replace(self, most=1).frame().collect()
+        found = replace(self, most=1).frame().collect() if self.most != 0 else []
         return found[0][0] if found else None
 
     def column(self) -> list:
@@ -195,10 +212,14 @@ class Query:
         return [r[0] for r in df.select(f"`{df.columns[0]}`").collect()]
 
     def each(self) -> Iterator[Any]:
-        return map(self._wrap, streams.each(self.frame()))
+        """Row by row. A limit without an order ends the reading."""
+        if self.order or self.groups:
+            return map(self._wrap, streams.each(self.frame()))
+        rows = streams.each(replace(self, most=None, skip=0).frame())
+        return map(self._wrap, islice(rows, self.skip, None if self.most is None else self.skip + self.most))
 
     def batch(self, size: int = 100) -> Iterator[list]:
-        return ([self._wrap(r) for r in rows] for rows in streams.batches(self.frame(), size))
+        return streams.batches(self.each(), size)
 
     def offsets(self) -> Iterator[str]:
         return streams.offsets(self._filtered(row_id=True).orderBy(ROW_ID), ROW_ID)
@@ -210,7 +231,7 @@ class Query:
 
     def count_frame(self, name: str = "cnt") -> DataFrame:
         """Rows that fit, or groups if there are any; limit and offset don't matter."""
-        df = self._filtered()
+        df = self._filtered(any_order=True)
         if self.groups:
             return df.agg(F.count_distinct(F.struct(*[f"`{g}`" for g in self.groups])).alias(name))
         return df.agg(F.count("*").alias(name))
@@ -221,7 +242,7 @@ class Query:
     def aggregate_frame(self, specs: Mapping[str, Any], text_as_zero: bool = False) -> DataFrame:
         """Groups (all rows are one without) with aggregates {name: (function, column)}, computed in one pass."""
         schema = self.table.schema
-        df = self._filtered()
+        df = self._filtered(any_order=True)
         self.table.check([c for _, c in specs.values() if c != "*"])
         made = [make_aggregate(f, c, schema[c].dataType if c != "*" else None, text_as_zero).alias(n) for n, (f, c) in specs.items()]
         return df.groupBy(*[f"`{g}`" for g in self.groups]).agg(*made)
@@ -258,7 +279,7 @@ class Query:
 
     def distinct_frame(self) -> DataFrame:
         """Distinct values of the selected columns."""
-        return self._filtered().select(*[f"`{c}`" for c in self.columns]).distinct()
+        return self._filtered(any_order=True).select(*[f"`{c}`" for c in self.columns]).distinct()
 
     # --- plans ---------------------------------------------------------------------------------------------------
 
@@ -273,12 +294,19 @@ class Query:
         return sql_text(self)
 
     def stats(self) -> dict[str, Any]:
-        """Rows and seconds of a run of the query."""
-        import time
-
-        began = time.time()
-        n = self.frame().count()
-        return {"rows": n, "seconds": time.time() - began}
+        """Rows, and the seconds that each phase took, of a run of the query: those of Spark's planning, and the run itself."""
+        began = time.perf_counter()
+        df = self.frame()
+        made = time.perf_counter()
+        n = df.count()
+        done = time.perf_counter()
+        phases, each = df._jdf.queryExecution().tracker().phases(), {}
+        df._jdf.queryExecution().executedPlan()
+        names = phases.keysIterator()
+        while names.hasNext():
+            name = names.next()
+            each[name] = phases.apply(name).durationMs() / 1000
+        return {"rows": n, "seconds": done - began, "build": made - began, "run": done - made, "phases": each}
 
 
 def _pair(condition: Any, value: Any) -> Any:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,22 +16,42 @@ def header(spark: SparkSession, path: str, separator: str = ",") -> list[str]:
     return names
 
 
-def read(spark: SparkSession, path: str, separator: str = ",", multi_line: bool = False, long_rows: str = "drop") -> DataFrame:
-    """All rows as strings. Short rows are filled with empty text; rows with too many fields are dropped, or cut if
-    long_rows is "cut". multi_line allows line breaks in quotes, but then a file can't be split."""
-    names = header(spark, path, separator)
+def _raw(spark: SparkSession, path: str, names: list[str], separator: str, multi_line: bool) -> DataFrame:
     schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField(BAD, T.StringType())])
-    raw = (
+    return (
         spark.read.schema(schema).option("header", True).option("sep", separator).option("quote", '"').option("escape", '"')
         .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).option("enforceSchema", True)
         .option("columnPruning", False).csv(path)  # with pruning Spark overlooks rows of a wrong length
     )
-    if long_rows == "drop":  # a broken row whose last column is filled has too many fields
-        raw = raw.filter(F.col(BAD).isNull() | F.col(f"`{names[-1]}`").isNull() | ~_has_more(F.col(BAD), separator, len(names)))
-    return raw.select(*[F.coalesce(f"`{n}`", F.lit("")).alias(n) for n in names])
 
 
-def _has_more(line, separator: str, n: int):
+def _too_long(names: list[str], separator: str) -> Column:
+    """A broken row whose last column is filled has too many fields."""
+    return F.col(BAD).isNotNull() & F.col(f"`{names[-1]}`").isNotNull() & _has_more(F.col(BAD), separator, len(names))
+
+
+def read(spark: SparkSession, path: str, separator: str = ",", multi_line: bool = False, long_rows: str = "drop", place: str | None = None) -> DataFrame:
+    """All rows as strings. Short rows are filled with empty text; rows with too many fields are dropped, or cut if
+    long_rows is "cut". multi_line allows line breaks in quotes, but then a file can't be split. place names a column to add by which
+    rows are in the order of the files; it holds for one query, since it follows the splits."""
+    names = header(spark, path, separator)
+    raw = _raw(spark, path, names, separator, multi_line)
+    more = []
+    if place:
+        raw = raw.withColumn(place, F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at")))
+        more = [F.col(place)]
+    if long_rows == "drop":
+        raw = raw.filter(~_too_long(names, separator))
+    return raw.select(*[F.coalesce(f"`{n}`", F.lit("")).alias(n) for n in names], *more)
+
+
+def long_rows(spark: SparkSession, path: str, separator: str = ",", multi_line: bool = False) -> int:
+    """How many rows have too many fields, and are dropped."""
+    names = header(spark, path, separator)
+    return _raw(spark, path, names, separator, multi_line).filter(_too_long(names, separator)).count()
+
+
+def _has_more(line: Column, separator: str, n: int) -> Column:
     """Whether a line has more than n fields; separators in quotes don't count."""
     bare = F.regexp_replace(line, '"[^"]*"', "")
     return F.length(bare) - F.length(F.replace(bare, F.lit(separator), F.lit(""))) >= n * len(separator)

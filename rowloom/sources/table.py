@@ -1,12 +1,14 @@
 """A table: its rows, virtual columns, appended rows, cell updates and indexes.
 
-State lies in a folder beside the table: meta.json (virtual columns, version), rows/ (numbered copy of delimited text), appends/
-(Parquet), updates/ (Parquet: row, column, value, sequence) and index/. Updates are merged at read time,
-before any predicate. An index is a sorted copy and never changes a result.
+State lies in a folder beside the table: meta.json (virtual columns, versions), lock, rows/ (numbered copy of delimited text),
+appends/ (Parquet), updates/ (Parquet: row, column, value, sequence) and index/. Updates are merged at read time,
+before any predicate. An index is a sorted copy and never changes a result. Changes are made under a lock and count from the moment
+meta.json is replaced: of a change that died before, nothing is seen.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
 from functools import cached_property
 from typing import Any
@@ -20,6 +22,9 @@ from . import delimited, files
 from .delimited import ROW_ID
 from .index import Indexes
 
+ORDER = "_row_order"  # a column by which rows are in the order of the files; unlike their identity it holds for one query
+BATCH = 1 << 40  # row numbers of a batch of appended rows start at this times the batch's number
+
 
 class Table:
     def __init__(self, spark: SparkSession, path: str, kind: str = "csv", separator: str = ",", state_dir: str | None = None, multi_line: bool = False, name: str | None = None):
@@ -50,6 +55,9 @@ class Table:
         state = self._state()
         return bool(state["updates"] or state["appends"])
 
+    def _locked(self):
+        return files.lock(self.spark, f"{self.state_dir}/lock")
+
     def fingerprint(self) -> str:
         return files.fingerprint(self.spark, self.path)
 
@@ -67,11 +75,24 @@ class Table:
         if self.kind == "parquet":
             at = F.format_string("%s#%015d", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
             return self._plain.select("*", at.alias(ROW_ID))
-        folder = f"{self.state_dir}/rows/{self.fingerprint()}"
+        folder = self._rows_folder
         if not files.exists(self.spark, f"{folder}/_SUCCESS"):
             delimited.with_row_numbers(self._plain).write.mode("overwrite").parquet(folder)
         return self.spark.read.parquet(folder)
 
+    @property
+    def _rows_folder(self) -> str:
+        return f"{self.state_dir}/rows/{self.fingerprint()}"
+
+    def _columnar(self) -> DataFrame | None:
+        """The rows of delimited text from a Parquet copy, if there is one of its present state: in any order, and pruned by column."""
+        if self.kind == "parquet":
+            return None
+        if (indexes := self.indexes.meta()["indexes"]) and self.indexes.fresh():
+            return self.indexes.read(min(indexes, key=lambda n: indexes[n]["fileSize"])).drop(ROW_ID)
+        folder = self._rows_folder if files.exists(self.spark, f"{self.state_dir}/rows") else ""
+        return self.spark.read.parquet(folder).drop(ROW_ID) if folder and files.exists(self.spark, f"{folder}/_SUCCESS") else None
+
     @property
     def schema(self) -> T.StructType:
         fields = list(self._plain.schema.fields)
@@ -85,26 +106,35 @@ class Table:
     def header_map(self) -> dict[str, int]:
         return {name: i for i, name in enumerate(self.headers)}
 
-    def frame(self, row_id: bool = False) -> DataFrame:
-        """Current rows: file, appended rows, updates, virtual columns. With row_id each row's identity comes along."""
+    def frame(self, row_id: bool = False, order: bool = False, any_order: bool = False) -> DataFrame:
+        """Current rows: file, appended rows, updates, virtual columns. With row_id each row's identity comes along, with order
+        a column ORDER, for which nothing is counted or copied. any_order allows to read a copy in another order."""
         state = self._state()
         if not row_id and not state["updates"] and not state["appends"]:
-            return self._with_virtual(self._plain, state)
+            if not order:
+                return self._with_virtual((self._columnar() if any_order else None) or self._plain, state)
+            if self.kind == "parquet":
+                placed = self._plain.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(ORDER))
+            else:
+                placed = delimited.read(self.spark, self.path, self.separator, self.multi_line, place=ORDER)
+            return self._with_virtual(placed, state)
         df = self._numbered()
         if state["appends"]:
-            df = df.unionByName(self.spark.read.schema(df.schema).parquet(f"{self.state_dir}/appends"))
+            stored = T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])
+            df = df.unionByName(self.spark.read.schema(stored).parquet(f"{self.state_dir}/appends").filter(F.col("batch") <= state["appends"]).drop("batch"))
         df = self._with_virtual(df, state)
         if state["updates"]:
-            df = self._merged(df)
+            df = self._merged(df, state["updates"])
+        df = df.withColumn(ORDER, F.col(ROW_ID)) if order else df
         return df if row_id else df.drop(ROW_ID)
 
     def _with_virtual(self, df: DataFrame, state: dict) -> DataFrame:
         new = {n: F.lit(d) for n, d in sorted(state["virtual_columns"].items()) if n not in df.columns}
         return df.withColumns(new) if new else df
 
-    def _merged(self, df: DataFrame) -> DataFrame:
+    def _merged(self, df: DataFrame, updates: int) -> DataFrame:
         """Last written values over df. The changes of a row meet in one aggregation; Spark broadcasts them if they are small."""
-        log = self.spark.read.parquet(f"{self.state_dir}/updates")
+        log = self.spark.read.parquet(f"{self.state_dir}/updates").filter(F.col("batch") <= updates)
         names = [c for c in df.columns if c != ROW_ID]
         last = log.groupBy(F.col("row").alias("_row")).agg(
             *[F.max(F.when(F.col("column") == n, F.struct("seq", "value"))).alias(f"_new_{i}") for i, n in enumerate(names)]
@@ -125,6 +155,13 @@ class Table:
     def where(self, condition: Any, value: Any = None):
         return self.find().where(condition, value)
 
+    def and_where(self, condition: Any, value: Any = None):
+        return self.find().and_where(condition, value)
+
+    def skipped_rows(self) -> int:
+        """Rows of delimited text that have too many fields and are left out."""
+        return delimited.long_rows(self.spark, self.path, self.separator, self.multi_line) if self.kind == "csv" else 0
+
     # --- changes -------------------------------------------------------------------------------------------------
 
     def insert(self, row: Mapping[str, Any]) -> int:
@@ -142,13 +179,19 @@ class Table:
             text = {f.name for f in physical if isinstance(f.dataType, T.StringType)}
             rows = self.spark.createDataFrame([tuple(_cell(r.get(n), n in text) for n in physical.names) for r in rows], physical)
         rows = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in physical])
-        state, n = self._state(), rows.count()
-        if self.kind == "parquet":
-            rows = delimited.with_row_numbers(rows, "_n").withColumn(ROW_ID, F.format_string(f"~{state['appends']:09d}#%015d", "_n")).drop("_n")
-        else:
-            rows = delimited.with_row_numbers(rows, start=self.frame(row_id=True).count() + 1)
-        rows.write.mode("append").parquet(f"{self.state_dir}/appends")
-        self._save(state | {"appends": state["appends"] + 1})
+        draft = f"{self.state_dir}/draft-{uuid.uuid4().hex}"
+        rows.write.parquet(draft)  # first, since a frame may give other partitions when it is run again, and numbers follow partitions
+        written = self.spark.read.schema(rows.schema).parquet(draft)
+        with self._locked():
+            state = self._state()
+            batch = state["appends"] + 1
+            numbered = delimited.with_row_numbers(written, start=batch * BATCH)
+            if self.kind == "parquet":
+                numbered = numbered.withColumn(ROW_ID, F.format_string("~%020d", ROW_ID))
+            numbered.write.mode("overwrite").parquet(f"{self.state_dir}/appends/batch={batch}")
+            self._save(state | {"appends": batch})
+        n = written.count()
+        files.delete(self.spark, draft)
         return n
 
     def update(self, values: Mapping[str, Any], condition: Any = None) -> int:
@@ -156,31 +199,34 @@ class Table:
         query = self.find().where(condition) if condition else self.find()
         if unknown := set(values) - set(self.headers):
             raise ValueError(f"Column not found: {', '.join(sorted(unknown))}")
-        state = self._state()
         cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(None if v is None else str(v)).alias("value")) for c, v in values.items()])
-        changes = query._filtered(row_id=True).select(F.col(ROW_ID).cast("string").alias("row"), F.inline(cells)).withColumn("seq", F.lit(state["updates"] + 1))
-        folder = f"{self.state_dir}/updates/batch={state['updates'] + 1}"
-        changes.write.mode("overwrite").parquet(folder)
-        written = self.spark.read.parquet(folder).count() // max(1, len(values))
-        self._save(state | {"updates": state["updates"] + 1})
+        with self._locked():
+            state = self._state()
+            batch = state["updates"] + 1
+            changes = query._filtered(row_id=True).select(F.col(ROW_ID).cast("string").alias("row"), F.inline(cells)).withColumn("seq", F.lit(batch))
+            folder = f"{self.state_dir}/updates/batch={batch}"
+            changes.write.mode("overwrite").parquet(folder)
+            written = self.spark.read.parquet(folder).count() // max(1, len(values))
+            self._save(state | {"updates": batch})
         return written
 
     def add_column(self, name: str, default: str = "", materialize: bool = False) -> None:
         """A column with one value: by metadata alone, or with materialize by rewriting the table's rows."""
         if name.lower() in {h.lower() for h in self.headers}:
             raise ValueError(f"Column already exists: {name}")
-        state = self._state()
-        self._save(state | {"virtual_columns": state["virtual_columns"] | {name: default}})
+        with self._locked():
+            state = self._state()
+            self._save(state | {"virtual_columns": state["virtual_columns"] | {name: default}})
         if materialize:
             self.materialize()
 
     def materialize(self) -> None:
-        """Write the current rows, virtual columns included, as the table itself. The new folder replaces the old by renaming."""
+        """Write the current rows, virtual columns included, as the table itself: a folder of files that by name are in the order of the
+        rows. It replaces the old one by renaming."""
         new, old = f"{self.path.rstrip('/')}.new", f"{self.path.rstrip('/')}.old"
         df = self.frame()
         if self.kind == "csv":
-            ordered = self.frame(row_id=True).orderBy(ROW_ID).drop(ROW_ID)
-            delimited.write(ordered.coalesce(1) if not self.changed else ordered, new, self.separator)
+            delimited.write(self.frame(row_id=True).orderBy(ROW_ID).drop(ROW_ID), new, self.separator)
         else:
             df.write.parquet(new)
         files.move(self.spark, self.path, old)
@@ -194,8 +240,15 @@ class Table:
 
     # --- indexes -------------------------------------------------------------------------------------------------
 
-    def create_index(self, columns: Iterable[str | Iterable[str]]) -> list[str]:
-        return [self.indexes.create([c] if isinstance(c, str) else list(c)) for c in columns]
+    def create_index(self, columns: Iterable[str | Iterable[str]], bloom: bool = False, verbose: bool = False) -> list[str]:
+        return self.indexes.create([[c] if isinstance(c, str) else list(c) for c in columns], bloom, verbose)
+
+    def index_path(self, columns: str | Iterable[str]) -> str:
+        return self.indexes.path(columns)
+
+    @property
+    def index_dir(self) -> str:
+        return self.indexes.folder
 
     def has_index(self, columns: str | Iterable[str]) -> bool:
         return self.indexes.has(columns)
@@ -207,7 +260,7 @@ class Table:
         self.indexes.clear()
 
     def meta(self) -> dict[str, Any]:
-        return self.indexes.meta()
+        return self.indexes.describe()
 
     def validate_integrity(self) -> bool:
         return self.indexes.fresh()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import islice
+from typing import Any
 
 from pyspark.sql import DataFrame, Row
 
@@ -12,10 +13,10 @@ def each(df: DataFrame) -> Iterator[Row]:
     yield from df.toLocalIterator()
 
 
-def batches(df: DataFrame, size: int = 100) -> Iterator[list[Row]]:
+def batches(rows: Iterator[Any], size: int = 100) -> Iterator[list]:
     if size < 1:
         raise ValueError("a batch has at least one row")
-    rows = each(df)
+    rows = iter(rows)
     while batch := list(islice(rows, size)):
         yield batch
 
