@@ -6,15 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators.compare import is_numeric
-
-# The characters trim() takes away, what counts as true, and the form of an e-mail address.
-TRIMMED = " \t\n\r\x00\x0b"
-TRUE_WORDS = ("1", "true", "yes", "on", "y")
-EMAIL = r"^[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+$"
-
+from . import rules as R
 
 def trim(c: Column) -> Column:
-    return F.trim(c, F.lit(TRIMMED))
+    return F.trim(c, F.lit(R.TRIMMED))
 
 
 def upper(c: Column) -> Column:
@@ -44,7 +39,7 @@ def as_float(c: Column, default: float = 0.0) -> Column:
 
 
 def as_bool(c: Column) -> Column:
-    return F.coalesce(F.lower(trim(c.cast("string"))).isin(*TRUE_WORDS), F.lit(False))
+    return F.coalesce(F.lower(trim(c.cast("string"))).isin(*R.TRUE_WORDS), F.lit(False))
 
 
 def as_string(c: Column) -> Column:
@@ -54,22 +49,14 @@ def as_string(c: Column) -> Column:
 def errors(c: Column, rules: list[str]) -> Column:
     """Messages of the rules that a cell breaks: required, numeric, email, min:n and max:n (bytes)."""
     text = as_string(c)
-    found = []
-    for rule in rules:
-        name, _, param = rule.partition(":")
-        if name == "required":
-            broken, message = text == "", "Field is required"
-        elif name == "numeric":
-            broken, message = (text != "") & ~is_numeric(text), "Value must be numeric"
-        elif name == "email":
-            broken, message = (text != "") & ~text.rlike(EMAIL), "Invalid email"
-        elif name == "min" and param:
-            broken, message = F.octet_length(text) < int(param), "Too short"
-        elif name == "max" and param:
-            broken, message = F.octet_length(text) > int(param), "Too long"
-        else:
-            continue
-        found.append(F.when(broken, F.lit(message)))
+    broken = {
+        "required": lambda _: text == "",
+        "numeric": lambda _: (text != "") & ~is_numeric(text),
+        "email": lambda _: (text != "") & ~text.rlike(R.EMAIL),
+        "min": lambda n: F.octet_length(text) < n,
+        "max": lambda n: F.octet_length(text) > n,
+    }
+    found = [F.when(broken[name](n), F.lit(R.MESSAGES[name])) for name, n in filter(None, map(R.parse, rules))]
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 

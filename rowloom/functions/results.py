@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from ..operators.compare import is_number
-from .cells import EMAIL, TRIMMED, TRUE_WORDS
+from . import rules as R
 
 
 class Cell:
@@ -31,23 +31,19 @@ class Cell:
         return float(self.value) if self.is_numeric() else default
 
     def as_bool(self) -> bool:
-        return self.as_string().strip(TRIMMED).lower() in TRUE_WORDS
+        return self.as_string().strip(R.TRIMMED).lower() in R.TRUE_WORDS
 
     def validate(self, rules: list[str]) -> dict[str, Any]:
-        text, found = self.as_string(), []
-        for rule in rules:
-            name, _, param = rule.partition(":")
-            size = len(text.encode())
-            if name == "required" and not text:
-                found.append("Field is required")
-            elif name == "numeric" and text and not self.is_numeric():
-                found.append("Value must be numeric")
-            elif name == "email" and text and not re.match(EMAIL, text):
-                found.append("Invalid email")
-            elif name == "min" and param and size < int(param):
-                found.append("Too short")
-            elif name == "max" and param and size > int(param):
-                found.append("Too long")
+        text = self.as_string()
+        size = len(text.encode())
+        broken: dict[str, Callable[[int | None], bool]] = {
+            "required": lambda _: not text,
+            "numeric": lambda _: bool(text) and not self.is_numeric(),
+            "email": lambda _: bool(text) and not re.match(R.EMAIL, text),
+            "min": lambda n: size < n,
+            "max": lambda n: size > n,
+        }
+        found = [R.MESSAGES[name] for name, n in filter(None, map(R.parse, rules)) if broken[name](n)]
         return {"valid": not found, "errors": found}
 
     def __str__(self) -> str:
@@ -59,7 +55,7 @@ class ResultColumn:
         self.cell, self.value, self.name, self.index = cell, cell.value, cell.name, cell.index
 
     def trim(self) -> str:
-        return self.cell.as_string().strip(TRIMMED)
+        return self.cell.as_string().strip(R.TRIMMED)
 
     def upper(self) -> str:
         return self.cell.as_string().upper()
@@ -72,7 +68,7 @@ class ResultColumn:
 
 
 class ResultRow:
-    """Missing columns are None; iteration gives (name, value) pairs."""
+    """Missing columns are None; iteration gives (name, value) pairs; as text it is JSON. line is set by queries with_lines()."""
 
     def __init__(self, values: dict[str, Any], line: Any = None):
         self._values, self.line = values, line
@@ -103,7 +99,8 @@ class ResultRow:
         return len(self._values)
 
     def cell(self, name: str) -> Cell:
-        return Cell(self, list(self._values).index(name), name, self._values[name])
+        """A missing column's cell is empty, at position -1."""
+        return Cell(self, list(self._values).index(name) if name in self._values else -1, name, self._values.get(name))
 
     def column(self, name: str) -> ResultColumn:
         return ResultColumn(self.cell(name))
@@ -113,3 +110,5 @@ class ResultRow:
 
     def to_json(self) -> str:
         return json.dumps(self._values, default=str, ensure_ascii=False)
+
+    __str__ = to_json

@@ -1,4 +1,4 @@
-"""Requests as dicts, and a command line: index, query, write, version."""
+"""Requests as dicts, and a command line: index, query, write, daemon, version."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ def _query(table: Table, request: Mapping[str, Any]):
     where = request.get("where")
     q = table.find()
     q = q.where_json(where) if isinstance(where, str) else q.where(where) if where else q
-    if request.get("limit"):
+    if request.get("limit") is not None:  # 0 is a limit too
         q = q.limit(int(request["limit"]))
     return q.offset(int(request.get("offset") or 0))
 
@@ -57,14 +57,20 @@ def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="rowloom")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("version")
-    for name in ("index", "query", "write"):
+    for name in ("index", "query", "write", "daemon"):
         c = sub.add_parser(name)
-        c.add_argument("--table", required=True)
+        if name != "daemon":
+            c.add_argument("--table", required=True)
         c.add_argument("--kind", default="csv")
         c.add_argument("--separator", default=",")
         c.add_argument("--state-dir")
         if name == "index":
             c.add_argument("--columns", required=True, help='JSON, as ["a", ["b", "c"]]')
+            c.add_argument("--bloom", action="store_true")
+            c.add_argument("--verbose", action="store_true")
+        elif name == "daemon":
+            c.add_argument("--host", default="127.0.0.1")
+            c.add_argument("--port", type=int, default=7790)
         elif name == "query":
             c.add_argument("--request", required=True, help="JSON request")
         else:
@@ -74,9 +80,15 @@ def main(args: list[str] | None = None) -> int:
         print(__version__)
         return 0
     spark = SparkSession.builder.getOrCreate()
+    if a.command == "daemon":
+        from .daemon import Daemon
+
+        with Daemon(spark, a.host, a.port, a.kind) as daemon:
+            daemon.serve_forever()
+        return 0
     table = Table(spark, a.table, a.kind, a.separator, a.state_dir)
     if a.command == "index":
-        out: Any = {"indexes": table.create_index(json.loads(a.columns))}
+        out: Any = {"indexes": table.create_index(json.loads(a.columns), a.bloom, a.verbose)}
     elif a.command == "write":
         out = {"rows": table.batch_insert(json.loads(a.rows))}
     else:

@@ -56,15 +56,20 @@ def read_json(spark: SparkSession, path: str, default: Any = None) -> Any:
         stream.close()
 
 
-def write_json(spark: SparkSession, path: str, value: Any) -> None:
-    """Replaces the file in one step where the file system can: readers see the old text or the new, never a part."""
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     fs, p = _at(spark, path)
-    draft = _at(spark, f"{path}.{uuid.uuid4().hex}")[1]
-    stream = fs.create(draft, True)
+    stream = fs.create(p, True)
     try:
-        stream.write(bytearray(json.dumps(value, indent=1).encode()))
+        stream.write(bytearray(data))
     finally:
         stream.close()
+
+
+def write_json(spark: SparkSession, path: str, value: Any) -> None:
+    """Replaces the file in one step where the file system can: readers see the old text or the new, never a part."""
+    fs, p = _at(spark, path)
+    draft = _at(spark, f"{path}.{uuid.uuid4().hex}")[1]
+    write_bytes(spark, draft.toString(), json.dumps(value, indent=1).encode())
     hadoop = spark._jvm.org.apache.hadoop.fs
     over = spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
     over[0] = hadoop.Options.Rename.OVERWRITE

@@ -97,12 +97,15 @@ def test_rows_and_cells(table):
     assert row.cell("SCORE").as_int() == 95 and row.cell("NAME").as_int(7) == 7 and row.cell("SCORE").as_float() == 95.0
     assert row.column("STATUS").upper() == "ACTIVE" and row.column("SCORE").index == 3
     assert row.cell("NAME").validate(["required", "numeric", "min:50"]) == {"valid": False, "errors": ["Value must be numeric", "Too short"]}
-    assert '"NAME": "Alice Smith"' in row.to_json() and len(dict(row)) == 5
+    assert '"NAME": "Alice Smith"' in row.to_json() and len(dict(row)) == 5 and str(row) == row.to_json()
+    assert row.cell("nope").is_empty() and row.column("nope").index == -1 and row.line is None
+    assert [r.line for r in table.find().with_lines().where({"STATUS": "pending"}).all()] == [4, 8] and table.find().with_lines().one().line == 1
 
 
 def test_text_and_plans(table):
     q = table.find().select("ID", "NAME").where(["and", {"STATUS": "it's"}, ["between", "SCORE", 1, "9"]]).order_by("SCORE desc").limit(5).offset(2)
-    assert q.sql() == "SELECT ID, NAME FROM `sample` WHERE (`STATUS` = 'it''s') AND (`SCORE` BETWEEN 1 AND 9) ORDER BY SCORE DESC LIMIT 5 OFFSET 2"
+    assert q.sql() == "SELECT `ID`, `NAME` FROM `sample` WHERE (`STATUS` = 'it''s') AND (`SCORE` BETWEEN 1 AND 9) ORDER BY `SCORE` DESC LIMIT 5 OFFSET 2"
+    assert table.find().where(["is not", "NAME", "x"]).where_sql("ID > 3").sql() == "SELECT * FROM `sample` WHERE (NOT (`NAME` <=> 'x')) AND (ID > 3)"
     assert q.explain()["type"] == "FullScan" and "FullScan" in q.explain("tree") and "cost" in q.explain("table") and '"cost"' in q.explain("json")
     assert "Physical Plan" in q.explain("spark") and q.stats()["rows"] == 0
 
@@ -115,4 +118,5 @@ def test_service(table):
     assert ask(action="groupby", groupBy="STATUS")["groups"] == {"active": 5, "inactive": 3, "pending": 2}
     assert ask(action="query", groupBy="STATUS", aggFunc="avg", aggCol="SCORE")["data"]["pending"] == 67.5
     assert ask(action="status")["rows"] == 10 and ask(action="explain")["data"]["type"] == "FullScan"
+    assert ask(action="select", limit=0)["rows"] == [] and ask(action="select", limit=1, offset=1)["rows"][0]["ID"] == "2"
     assert not ask(action="nope")["success"] and "Column not found" in ask(action="count", where={"x": 1})["error"]

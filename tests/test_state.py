@@ -68,6 +68,66 @@ def test_index_never_changes_a_result(table):
     assert table.meta()["indexes"] == {}
 
 
+def test_limits_without_an_order_copy_nothing(table):
+    q = table.find()
+    assert [r["id"] for r in q.as_array().limit(3).offset(2).all()] == [r["id"] for r in q.as_array().all()][2:5]
+    assert q.one() is not None and q.scalar() is not None and q.limit(0).scalar() is None and q.limit(0).one() is None
+    assert len(list(q.limit(2).each())) == 2 and [len(b) for b in q.limit(5).batch(2)] == [2, 2, 1]
+    assert len(q.order_by("name").limit(2).all()) == 2 and len(q.group_by("name").all()) == 7
+    assert not os.path.isdir(f"{table.state_dir}/rows")
+
+
+def test_numbers_in_text_keys_reach_the_scan(table):
+    plain = {v: rows(table.find().where({"n": v})) for v in (5, "5", "5.0", " 5", "x", -1)}
+    assert plain[5] == plain["5.0"] and plain[5] and not plain["x"]
+    table.create_index(["n", "id"], bloom=True)
+    for v, want in plain.items():
+        assert rows(table.find().where({"n": v})) == want
+        if v != "x":
+            assert f"EqualTo(_number_n,{float(v)})" in table.find().where({"n": v}).explain("spark")
+    assert rows(table.find().compare_as("bytes").where({"n": "5.0"})) == [] and rows(table.find().compare_as("bytes").where({"n": "5"})) == plain[5]
+    plan = table.find().where({"id": 7}).explain()
+    assert plan["index"] == "id" and plan["bytes"] > 0 and table.find().where({"id": 99}).explain()["bytes"] == 0
+    assert table.meta()["totalRows"] == 40 and table.meta()["indexes"]["n"]["distinctCount"] == 11
+    assert "_number_" not in str(table.find().where({"id": 7}).frame().columns) and table.find().count() == 40
+
+
+def test_a_value_of_many_rows_is_dealt_over_files(spark, tmp_path, monkeypatch):
+    from rowloom.sources import index
+
+    monkeypatch.setattr(index, "FILE_BYTES", 10_000)
+    spark.range(20_000).selectExpr("id", "'one' as flag").write.parquet(str(tmp_path / "t"))
+    t = Table(spark, str(tmp_path / "t"), "parquet", state_dir=str(tmp_path / "state"))
+    t.create_index(["flag", ["flag", "id"]])
+    sizes = [r["count"] for r in spark.read.parquet(t.index_path("flag")).groupBy("_metadata.file_path").count().collect()]
+    assert len(sizes) > 3 and max(sizes) < 10_000 and sum(sizes) == 20_000
+    assert t.find().where({"flag": "one", "id": 77}).explain()["index"] == "flag_id" and t.find().where({"flag": "one"}).count() == 20_000
+
+
+def test_what_died_before_it_counted_is_not_seen(spark, table):
+    from rowloom.sources import files
+
+    table.insert({"id": "100"})
+    for part in ("appends", "updates"):
+        spark.createDataFrame([("x",)], "id string").write.parquet(f"{table.state_dir}/{part}/batch=9")
+    assert table.find().count() == 41 and table.update({"name": "z"}, {"id": "100"}) == 1 and table.find().where({"name": "z"}).count() == 1
+    with files.lock(spark, f"{table.state_dir}/lock"), pytest.raises(TimeoutError):
+        with files.lock(spark, f"{table.state_dir}/lock", 0.3):
+            pass
+    assert table.insert({"id": "101"}) == 1
+
+
+def test_a_file_rewritten_at_equal_size_and_time_is_stale(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("a,b\n1,x\n")
+    t = Table(spark, str(path), state_dir=str(tmp_path / "s"))
+    t.create_index(["a"])
+    at = os.stat(path)
+    path.write_text("a,b\n2,x\n")
+    os.utime(path, ns=(at.st_atime_ns, at.st_mtime_ns))
+    assert not t.validate_integrity() and t.find().where({"a": 2}).count() == 1
+
+
 def test_stale_index_is_not_read(table):
     table.create_index(["id"])
     assert table.validate_integrity()
