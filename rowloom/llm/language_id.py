@@ -31,6 +31,7 @@ MAX_LANGS = 256  # the most frequent labels
 SEGMENT = 512
 PART = 1 << 20
 BATCH_SYMBOLS = 2_000_000
+WIDE = 64  # transitions of a state from which on its row isn't searched a place for
 UNDETERMINED = "und"
 
 
@@ -94,12 +95,19 @@ class Transitions:
         start = np.searchsorted(edges[:, 0], np.arange(states + 1))
         count = np.diff(start)
         symbols = edges[:, 1]
-        room = 2 * width + 3 * len(edges) + 512
+        wide = [symbols[start[s] : start[s + 1]] for s in np.flatnonzero(count > WIDE)]
+        room = 2 * width + 4 * len(edges) + 128 * width + sum(int(own[-1]) + 2 for own in wide)
         free, used = np.ones(room + width, bool), np.zeros(room + width, bool)
         free[:width] = False  # so that no base is below zero
         base = np.full(states, room, np.int64)  # of states without transitions: no cell is theirs
+        top = width
+        for state, own in zip(np.flatnonzero(count > WIDE).tolist(), wide):  # beyond all that is taken; others fill their gaps
+            chosen = base[state] = top - own[0]
+            used[chosen] = True
+            free[chosen + own] = False
+            top = chosen + own[-1] + 1
         begin = width  # searches start here; what they leave behind takes the states of one transition
-        for state in np.argsort(-count, kind="stable")[: int((count > 1).sum())].tolist():
+        for state in np.argsort(-count, kind="stable")[len(wide) : int((count > 1).sum())].tolist():
             own = symbols[start[state] : start[state + 1]]
             while True:
                 bases = np.flatnonzero(free[begin : begin + 256]) + (begin - own[0])
@@ -114,12 +122,18 @@ class Transitions:
             free[chosen + own] = False
         holes = np.flatnonzero(free[:room])
         alone = np.flatnonzero(count == 1)
-        for s in np.unique(symbols[start[alone]]):
-            own = alone[symbols[start[alone]] == s]
-            fit = np.flatnonzero(~used[holes - s])[: len(own)]
-            base[own] = holes[fit] - s
-            used[base[own]] = True
-            holes = np.delete(holes, fit)
+        alone = alone[np.argsort(symbols[start[alone]], kind="stable")]
+        groups = np.flatnonzero(np.diff(symbols[start[alone]], prepend=-1))
+        at = 0
+        for a, b in zip(groups.tolist(), [*groups[1:].tolist(), len(alone)]):
+            s = symbols[start[alone[a]]]
+            while a < b:  # holes that don't fit are left
+                some = holes[at : at + b - a + 8]
+                some = some[~used[some - s]][: b - a]
+                base[alone[a : a + len(some)]] = some - s
+                used[some - s] = True
+                at = int(np.searchsorted(holes, some[-1], side="right")) if len(some) else at + 8
+                a += len(some)
         last = int(max(base[base < room], default=0)) + 1
         self.base, self.none = np.minimum(base, last), last
         self.cells = np.full(last + width, -1, np.int64)
