@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ascii_lower, fresh, scratch, shuffle_width
+from ._shared import ascii_lower, fresh, passing, scratch, shuffle_width
 
 SLICE_BITS_MAX = 12
 SALTS = 16  # tasks over which the copies of one text are dealt
@@ -194,8 +194,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without exact copies, columns unchanged. Rows that share id and text stay once."""
     sha, own, same = (fresh(docs, n) for n in ("_sha", "_id", "_kept"))
-    groups = exact_groups(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias(own), "group_size", "kept", F.col("text_sha256").alias(same))
-    groups = scratch(groups, "exact-groups")
+    with passing() as keep:
+        groups = exact_groups(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias(own), "group_size", "kept", F.col("text_sha256").alias(same))
+        groups = scratch(groups, "exact-groups")
+        keep.append(groups)
     tagged = docs.withColumn(sha, F.sha2(normalise(F.col(f"`{text_col}`")), 256))
     kept = groups.filter("kept").select(own, same)
     once = tagged.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.col(sha) == F.col(same)), "left_semi")

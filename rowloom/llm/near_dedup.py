@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh, scratch, small_batches
+from ._shared import fresh, passing, scratch, small_batches
 from ._words import Words, draw_key, mix, run_hashes
 
 SHINGLE = 5
@@ -154,6 +154,17 @@ def components(edges: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (the smallest id reachable) and kept."""
     small_batches(docs.sparkSession)
+    with passing() as keep:
+        signed, by_class = _found(docs, id_col, text_col, size, threshold)
+        keep += [signed, by_class]
+    found = F.when(F.col("id").isNotNull(), F.coalesce("found", "id"))
+    return signed.select("id", "n", "cls").join(by_class, "cls", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("id") == found, F.lit(True)).alias("kept")
+    )
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with the class of their set, and of each class the smallest id that it is connected to."""
     key = draw_key()
     signed = scratch(signatures(docs, size, id_col, text_col, key), "near-signatures")
     usable = signed.filter("id is not null and cls is not null")
@@ -187,10 +198,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest = scratch(named.groupBy("comp").agg(F.min("first").alias("component_id")), "near-smallest")
     by_class = classes.select("cls", "first").join(named.join(smallest, "comp").select("cls", "component_id"), "cls", "left")
     by_class = scratch(by_class.select("cls", F.coalesce("component_id", "first").alias("found")), "near-found")
-    found = F.when(F.col("id").isNotNull(), F.coalesce("found", "id"))
-    return signed.select("id", "n", "cls").join(by_class, "cls", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("id") == found, F.lit(True)).alias("kept")
-    )
+    return signed, by_class
 
 
 def _full_sets(docs: DataFrame, reps: DataFrame, size: int, id_col: str, text_col: str, key: int) -> DataFrame:
