@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.llm import exact_dedup, language_id, near_dedup, pii, queries
-from rowloom.llm._shared import scratch, table
+from rowloom.llm._shared import passing, release, scratch, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with passing() as keep:
+            before, docs = docs, scratch(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.append(docs)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
