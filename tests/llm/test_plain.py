@@ -366,3 +366,60 @@ def test_the_stages_take_any_rows(spark):
     assert sorted((r.doc_id or 0) for r in docs.collect()) == [0, 1, 2, 3]
     assert {r.doc_id for r in corpus_pipeline.pack(spark, docs, "").collect()} == {None, 1, 2, 3}
     assert corpus_pipeline.pack(spark, spark.createDataFrame([], schema), "").count() == 0
+
+
+def _work(spark) -> set[str]:
+    """The work folders there are now."""
+    from rowloom.sources import files
+
+    fs, folder = files._at(spark, spark.conf.get("spark.checkpoint.dir"))
+    return {s.getPath().getName() for s in fs.listStatus(folder)} if fs.exists(folder) else set()
+
+
+def _tags(names: set[str]) -> list[str]:
+    return sorted(n.rsplit("-", 1)[0] for n in names)
+
+
+def test_passing_tables_are_released(spark):
+    from rowloom.llm import _shared
+
+    before = _work(spark)
+    with _shared.passing() as outer:
+        with _shared.passing() as keep:
+            a, b = _shared.scratch(spark.range(3), "one"), _shared.scratch(spark.range(4), "two")
+            keep.append(b)
+        assert _tags(_work(spark) - before) == ["two"]
+        c = _shared.scratch(b, "three")
+        outer.append(c)
+    assert _tags(_work(spark) - before) == ["three"] and c.count() == 4
+    _shared.release(spark.range(1))  # not one of them
+    _shared.release(c)
+    _shared.release(c)
+    assert _work(spark) == before
+    with pytest.raises(ValueError), _shared.passing() as keep:
+        keep.append(_shared.scratch(spark.range(3), "failed"))
+        raise ValueError
+    assert _work(spark) == before
+
+
+def test_near_groups_leave_what_their_result_reads(spark):
+    from rowloom.llm import near_dedup
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1])), (3, " ".join(words[1:])), (4, "something else"), (5, None)]
+    before = _work(spark)
+    out = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert _tags(_work(spark) - before) == ["near-found", "near-signatures"]
+    for _ in range(2):  # it can be run again
+        assert {r.doc_id: r.component_id for r in out.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
+def test_the_pipeline_leaves_what_its_result_reads(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, "the cat and the dog " * (i + 1), "en", "s", 1) for i in range(6)] + [(9, "le chat et le chien", "fr", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    before = _work(spark)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert not [t for t in _tags(_work(spark) - before) if t.startswith(("near", "exact")) or t in ("pipeline-language_id", "pipeline-exact_dedup", "pipeline-near_dedup")]
+    assert out.count() == out.count() > 0
