@@ -7,6 +7,7 @@ import random
 import re
 import string
 import zlib
+from contextlib import contextmanager
 
 import duckdb
 import numpy as np
@@ -548,23 +549,45 @@ def test_pipeline(spark, texts):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
 
 
-def test_a_hot_class_is_split_between_tasks(spark):
+@contextmanager
+def _small_partitions(spark):
+    """Settings under which AQE splits what is hot in tables as small as these."""
     small = {
         "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
     }
     before = {k: spark.conf.get(k, None) for k in small}
-    own = F.concat_ws(" ", *[F.substring(F.sha2(F.concat_ws("-", "id", F.lit(i)), 256), 1, 6) for i in range(9)])
-    docs = spark.range(9000, numPartitions=8).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one two three four five six").otherwise(own).alias("text"))
     try:
         for k, v in small.items():
             spark.conf.set(k, v)
-        out = near_dedup.near_groups(docs)
-        rows = out.collect()
-        plan = out._jdf.queryExecution().executedPlan().toString()
+        yield
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_hot_class_is_split_between_tasks(spark):
+    own = F.concat_ws(" ", *[F.substring(F.sha2(F.concat_ws("-", "id", F.lit(i)), 256), 1, 6) for i in range(9)])
+    docs = spark.range(9000, numPartitions=8).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one two three four five six").otherwise(own).alias("text"))
+    with _small_partitions(spark):
+        out = near_dedup.near_groups(docs)
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
     assert len(rows) == 9000 and all(r.component_id == (0 if r.doc_id % 3 == 0 else r.doc_id) for r in rows)
     assert "SortMergeJoin(skew=true)" in plan
+
+
+def test_a_hot_host_is_split_between_tasks(spark, monkeypatch):
+    """Where winning paths are too many to be broadcast, pages are dealt by host."""
+    host = F.concat(F.lit("http://h"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50), F.lit(".org/"))
+    body = F.concat(F.lit("<nav>menu</nav><div class=post><p>"), F.sha2(F.col("id").cast("string"), 256), F.lit("</p></div><footer>end</footer>"))
+    pages = spark.range(6000, numPartitions=8).select(F.col("id").alias("page_id"), host.alias("url"), body.alias("html"))
+    want = {(r.page_id, r.text) for r in html_text.extract_text(pages).collect()}
+    monkeypatch.setattr(html_text, "BROADCAST_ROWS", 0)
+    with _small_partitions(spark):
+        out = html_text.extract_text(pages)
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(rows) == 6000 and {(r.page_id, r.text) for r in rows} == want
+    assert "SortMergeJoin(skew=true)" in plan
