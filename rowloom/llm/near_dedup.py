@@ -37,6 +37,7 @@ HASHES = BANDS * ROWS
 SKETCH_WORDS = 16
 SKETCH_BITS = 64 * SKETCH_WORDS
 MARGIN = 0.16  # of similarity, about five standard deviations of the sketches' estimate
+PAIRS = 1 << 14  # likely pairs of a block that are looked at from lists at once
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21  # classes of a bucket, or shingles, that are compared with as many others at once
 
 _rng = np.random.default_rng(20)
@@ -265,7 +266,7 @@ def _open_links(rest: DataFrame, threshold: int) -> DataFrame:
         odd, bands = np.array(group["odd"].tolist(), np.int64).view(np.uint64), np.array(group["bands"].tolist(), np.int64)
         band = int(np.flatnonzero((bands == number).all(axis=0))[0])
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        likely: list[np.ndarray] = []
+        likely: list[tuple[np.ndarray, ...]] = []
         for i in left if len(right) else []:
             js = right[(comp[right] != comp[i]) & ((rep[right] < rep[i]) if low == high else True)]
             bits = np.bitwise_count(odd[js] ^ odd[i]).sum(axis=1)
@@ -274,7 +275,7 @@ def _open_links(rest: DataFrame, threshold: int) -> DataFrame:
                 new = ~(bands[js, :band] == bands[i, :band]).any(axis=1)
                 js, bits = js[new], bits[new]
             if len(js):
-                likely.append(np.stack([bits.astype(np.int64), np.full(len(js), i), js]))
+                likely.append((bits.astype(np.int16), np.full(len(js), i, np.int32), js.astype(np.int32)))
         up: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -284,12 +285,16 @@ def _open_links(rest: DataFrame, threshold: int) -> DataFrame:
 
         out = []
         if likely:
-            pairs = np.concatenate(likely, axis=1)
-            for _, i, j in pairs[:, np.argsort(pairs[0], kind="stable")].T.tolist():
-                a, b = root(int(comp[i])), root(int(comp[j]))
-                if a != b and confirmed(sets[i], sets[j], threshold):
-                    up[max(a, b)] = min(a, b)
-                    out.append((int(max(rep[i], rep[j])), int(min(rep[i], rep[j]))))
+            bits, i_all, j_all = (np.concatenate(x) for x in zip(*likely))
+            likely.clear()
+            order = np.argsort(bits, kind="stable")
+            for at in range(0, len(order), PAIRS):  # a block may have a million pairs, too many for lists of numbers
+                some = order[at : at + PAIRS]
+                for i, j in zip(i_all[some].tolist(), j_all[some].tolist()):
+                    a, b = root(int(comp[i])), root(int(comp[j]))
+                    if a != b and confirmed(sets[i], sets[j], threshold):
+                        up[max(a, b)] = min(a, b)
+                        out.append((int(max(rep[i], rep[j])), int(min(rep[i], rep[j]))))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return scratch(rows.groupBy("key", "low", "high").applyInPandas(compare, "a bigint, b bigint"), "near-links")
