@@ -47,19 +47,26 @@ CLOSES = {
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"),
     "th": ("td th", "tr table"), "option": ("option", "select"),
 }
-# Boilerplate: by tag; and less surely by form or by a class, id or role all of whose words are BOILER_WORDS or PLAIN_WORDS, with one of the former.
+# Boilerplate: by tag; and less surely by form or by a class, id or role all of whose words are BOILER_WORDS or PLAIN_WORDS, with one of the former,
+# or whose last word is one of LAST_WORDS, if none of STATE_WORDS, which describe a page, is among them.
 BOILER_TAGS = frozenset("nav aside footer menu dialog".split())
 BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
+    "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie cookies "
     "copyright disqus footer gdpr header login masthead menu menus nav navbar navigation newsletter notice notices paywall popup promo promos promoted "
     "recommended related replies respond rss search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe toolbar "
     "widget widgets".split()
 )
 PLAIN_WORDS = frozenset(
-    "area articles bar block body bottom box button buttons col column container form global group icons inner item items left link links list main outer "
-    "page panel posts primary right secondary section site sticky top wrap wrapper".split()
+    "area articles author bar block body bottom box button buttons col column container content desktop entry form global group icons inner item items law left "
+    "legal link links list main meta mobile modal outer overlay page panel policy post posts primary reader readers right secondary section site slot sticky "
+    "stories story thread top unit user users wrap wrapper".split()
 )
-PART_WORDS = frozenset("block box item main page panel section".split())
+LAST_WORDS = frozenset(
+    "ad ads advert adverts advertisement breadcrumb breadcrumbs comments consent copyright disqus footer nav navbar navigation newsletter notice notices paywall "
+    "promo promos sidebar sidebars".split()
+)
+STATE_WORDS = frozenset("allow closed disabled enabled has have hide is no non not open show with without".split())
+PART_WORDS = frozenset("block box content entry item main page panel post section story".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+>|[^>]*>)|[^<]+|<", re.S
@@ -122,11 +129,14 @@ def _bounded(path: str) -> str:
 def _doubtful(named: dict[str, str], inside: bool) -> bool:
     """inside: of an article or main element, where a header is no boilerplate; nor is the header of a part of the page."""
     for token in " ".join(named.get(name, "") for name in ("class", "id", "role")).split():
-        words = set(re.findall(r"[^\W\d_]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()))
+        named_by = re.findall(r"[^\W\d_]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+        words = set(named_by)
         if "header" in words and (inside or words & PART_WORDS):
             continue
         if words & BOILER_WORDS and words <= BOILER_WORDS | PLAIN_WORDS:
             return True
+        if named_by and named_by[-1] in LAST_WORDS and not words & STATE_WORDS:
+            return True
     return False
 
 

@@ -187,7 +187,7 @@ def test_html_keeps_what_is_around_the_body(spark, page):
     assert {r.text for r in out} == {want}
 
 
-@pytest.mark.parametrize("attrs", ["class='site-content no-sidebar'", "class=has-sidebar", "class='elementor-widget-text-editor'", "id=search-result-article", "class=entry-header", "class=page-header", "class=header", "class=sidebar"])
+@pytest.mark.parametrize("attrs", ["class='site-content no-sidebar'", "class=has-sidebar", "class='elementor-widget-text-editor'", "id=search-result-article", "class=entry-header", "class=page-header", "class=header", "class=sidebar", "class=has-comments", "class=post-header", "class='text-without-ads'"])
 def test_html_words_of_wrappers(attrs):
     whole = "Title\n\none two three"
     assert html_text.extract(f"<body><div {attrs}><h1>Title</h1><p>one two three</p></div></body>", None) == whole
@@ -196,11 +196,17 @@ def test_html_words_of_wrappers(attrs):
         assert html_text.extract(f"<article><div {attrs}><h1>Title</h1></div><p>one two three</p></article>", None) == whole
 
 
-@pytest.mark.parametrize("attrs", ["class=sidebar", "class='x site-footer'", "id=cookie-banner", "class=relatedPosts", "role=search", "class='comment-list'"])
+@pytest.mark.parametrize("attrs", ["class=sidebar", "class='x site-footer'", "id=cookie-banner", "class=relatedPosts", "role=search", "class='comment-list'", "class=reader-comments", "id=disqus_thread", "class=commentlist", "class='ad-slot'", "class=blog-post-comments", "class=imageNavigation", "class=legal-notice"])
 def test_html_words_of_boilerplate(attrs):
     assert html_text.extract(f"<body><div class=post><p>{LONG_BODY}</p></div><div {attrs}><p>not this text</p></div></body>", None) == LONG_BODY.strip()
 
 
+@pytest.mark.parametrize("name", ["post-header", "entry-header", "content-header", "section-header"])
+def test_html_keeps_headers_of_parts(name):
+    page = f"<body><div class=post><div class={name}><h1>Title</h1></div><p>{LONG_BODY}</p></div><div class=header>Site name</div></body>"
+    assert html_text.extract(page, None) == f"Title\n\n{LONG_BODY.strip()}"
+
+
 def test_html_when_all_is_boilerplate():
     assert html_text.extract("<body><div class=sidebar><p>a b c</p></div><div class=widget><p>d e f</p></div><nav>g</nav></body>", None) == "a b c\n\nd e f"
     assert html_text.extract("<body><footer><p>a b c</p></footer></body>", None) == "a b c"
