@@ -23,6 +23,7 @@ if TYPE_CHECKING:
     from .table import Table
 
 FILE_BYTES = 64 << 20  # of the table for each file of a copy
+LEAST_BYTES = 1 << 20  # smaller tables get as many files as there are cores to sort them, each of so much of the table at least
 FOOTERS = 64  # files whose statistics an estimate reads
 
 
@@ -65,7 +66,8 @@ class Indexes:
         texts = sorted({c for k in keys for c in k if isinstance(rows.schema[c].dataType, T.StringType)})
         rows = rows.withColumns({number_of(c): compare.to_double(F.col(f"`{c}`"), T.StringType()) + F.lit(0.0) for c in texts})
         sort = [[x for c in k for x in ([number_of(c)] if c in texts else []) + [c]] for k in keys]
-        n_files = max(1, -(-files.size(spark, table.path) * len(keys) // FILE_BYTES))
+        size = files.size(spark, table.path) * len(keys)
+        n_files = max(1, -(-size // FILE_BYTES), min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES))
         if len(keys) == 1:
             order: list[Column] = [F.col(f"`{c}`") for c in sort[0]]
         else:  # a row for each copy; the columns of other copies' keys count as null

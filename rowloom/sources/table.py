@@ -73,7 +73,7 @@ class Table:
         """Rows of the file with their identity: for Parquet, file and row number, which its reader knows; for
         text the row number, kept in a copy that is made once per state of the file."""
         if self.kind == "parquet":
-            at = F.format_string("%s#%015d", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+            at = F.concat("_metadata.file_path", F.lit("#"), F.lpad(F.col("_metadata.row_index").cast("string"), 15, "0"))
             return self._plain.select("*", at.alias(ROW_ID))
         folder = self._rows_folder
         if not files.exists(self.spark, f"{folder}/_SUCCESS"):
