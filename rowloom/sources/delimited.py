@@ -57,14 +57,16 @@ def _has_more(line: Column, separator: str, n: int) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(separator), F.lit(""))) >= n * len(separator)
 
 
-def with_row_numbers(df: DataFrame, name: str = ROW_ID, start: int = 1) -> DataFrame:
-    """Rows numbered in the order of the files, from one count per partition."""
+def with_row_numbers(df: DataFrame, name: str = ROW_ID, start: int = 1, place: str | None = None) -> DataFrame:
+    """Rows numbered in the order of the files, from one count per split. Spark deals the splits of several files to partitions by their
+    size, so place names a struct that has file_path and file_block_start, which is left out; without it partitions count as splits."""
     tagged = df.withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    counts = tagged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per partition
-    numbered = tagged.withColumn("_part", part).join(F.broadcast(before), "_part")
-    return numbered.select(*[f"`{c}`" for c in df.columns], (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + start).alias(name))
+    split = F.struct(f"{place}.file_path", f"{place}.file_block_start") if place else F.shiftright("_at", 33)
+    counts = tagged.groupBy(split.alias("_split")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = counts.select("_split", (F.sum("_n").over(Window.orderBy("_split")) - F.col("_n") - F.col("_first")).alias("_shift"))  # a row per split
+    numbered = tagged.withColumn("_split", split).join(F.broadcast(before), "_split", "left")
+    shift = F.coalesce("_shift", F.raise_error(F.lit("splits changed while rows were numbered")).cast("long"))
+    return numbered.select(*[f"`{c}`" for c in df.columns if c != place], (shift + F.col("_at") + start).alias(name))
 
 
 def write(df: DataFrame, path: str, separator: str = ",") -> None:

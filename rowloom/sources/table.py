@@ -77,7 +77,8 @@ class Table:
             return self._plain.select("*", at.alias(ROW_ID))
         folder = self._rows_folder
         if not files.exists(self.spark, f"{folder}/_SUCCESS"):
-            delimited.with_row_numbers(self._plain).write.mode("overwrite").parquet(folder)
+            placed = delimited.read(self.spark, self.path, self.separator, self.multi_line, place=ORDER)
+            delimited.with_row_numbers(placed, place=ORDER).write.mode("overwrite").parquet(folder)
         return self.spark.read.parquet(folder)
 
     @property
@@ -182,10 +183,11 @@ class Table:
         draft = f"{self.state_dir}/draft-{uuid.uuid4().hex}"
         rows.write.parquet(draft)  # first, since a frame may give other partitions when it is run again, and numbers follow partitions
         written = self.spark.read.schema(rows.schema).parquet(draft)
+        placed = written.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start").alias(ORDER))
         with self._locked():
             state = self._state()
             batch = state["appends"] + 1
-            numbered = delimited.with_row_numbers(written, start=batch * BATCH)
+            numbered = delimited.with_row_numbers(placed, start=batch * BATCH, place=ORDER)
             if self.kind == "parquet":
                 numbered = numbered.withColumn(ROW_ID, F.format_string("~%020d", ROW_ID))
             numbered.write.mode("overwrite").parquet(f"{self.state_dir}/appends/batch={batch}")
