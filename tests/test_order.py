@@ -20,3 +20,15 @@ def table(spark, tmp_path):
 def test_lines(table):
     got = [(r.line, r["id"]) for r in table.find().with_lines().where({"k": 1}).all()]
     assert sorted(got) == [(i + 1, str(i)) for i in range(1, sum(SIZES), 4)]
+
+
+def test_offsets(table):
+    assert list(table.find().where({"k": 3}).offsets()) == [f"{i + 1}\n" for i in range(3, sum(SIZES), 4)]
+
+
+def test_appended_rows_are_numbered_as_given(spark, table):
+    more = spark.createDataFrame(spark.sparkContext.parallelize([(str(i), "0") for i in range(333, 340)], 1), "id string, k string")
+    more = more.union(spark.range(340, 900, numPartitions=1).selectExpr("cast(id as string)", "'0'"))
+    assert table.batch_insert(more) == 567 and table.insert({"id": "900", "k": "0"}) == 1
+    lines = {r["id"]: r.line for r in table.find().with_lines().all()}
+    assert sorted(lines, key=lines.get) == [str(i) for i in range(901)]
