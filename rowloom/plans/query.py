@@ -124,7 +124,7 @@ class Query:
             return None
         return indexes.choose(equal)
 
-    def _filtered(self, row_id: bool = False, order: bool = False, any_order: bool = False) -> DataFrame:
+    def _filtered(self, row_id: bool = False, order: bool = False, any_order: bool = False, only: list[str] | None = None) -> DataFrame:
         self.validate()
         table, path = self.table, self.access_path()
         if self.debugging:
@@ -134,7 +134,7 @@ class Query:
             df = df.withColumn(ORDER, F.col(ROW_ID)) if order else df
             df = df if row_id else df.drop(ROW_ID)
         else:
-            df = table.frame(row_id, order, any_order)
+            df = table.frame(row_id, order, any_order, only)
         if self.condition is not None:
             df = df.filter(C.to_column(self.condition, table.schema, self.rule))
         return df.filter(F.expr(self.sql_condition)) if self.sql_condition else df
@@ -144,17 +144,21 @@ class Query:
 
     def frame(self) -> DataFrame:
         """The result as a lazy DataFrame. With an order, a limit takes equal rows in the order of the files; with groups, the
-        first row of each group in the given order and then that of the files comes out. Without either, a limit stops as soon as it
-        has its rows: the first ones of the files in the order Spark reads them if the frame is collected, any rows if it goes on to
-        other operators, as with SQL's LIMIT."""
-        cut = self.most is not None or self.skip > 0
-        placed = bool(self.groups) or (cut and bool(self.order))
-        df = self._filtered(row_id=self.lines, order=placed)
+        first row of each group in the given order and then that of the files comes out. Without either, a limit takes the first rows
+        of the files, of which each task keeps no more than the limit."""
+        return self._lowered()
+
+    def _lowered(self, ordered: bool | None = None, only: list[str] | None = None) -> DataFrame:
+        """The frame; with ordered its rows are sorted by the given order and that of the files also without a limit, and with False
+        rows come as Spark reads them."""
+        cut = (self.most is not None or self.skip > 0) if ordered is None else ordered
+        placed = cut or bool(self.groups)
+        df = self._filtered(row_id=self.lines, order=placed, only=only)
         names = list(self.columns) or [c for c in df.columns if c not in (ROW_ID, ORDER)]
         names += [ROW_ID] if self.lines else []
         if self.groups:
             df = self._first_of_groups(df, names)
-        if self.order or (cut and placed):
+        if self.order or cut:
             df = df.orderBy(*self._sorting(), *([F.col(ORDER)] if placed else []))
         if self.skip:
             df = df.offset(self.skip)

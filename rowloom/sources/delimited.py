@@ -16,7 +16,7 @@ def header(spark: SparkSession, path: str, separator: str = ",") -> list[str]:
     return names
 
 
-def _raw(spark: SparkSession, path: str, names: list[str], separator: str, multi_line: bool) -> DataFrame:
+def _raw(spark: SparkSession, path: str | list[str], names: list[str], separator: str, multi_line: bool) -> DataFrame:
     schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField(BAD, T.StringType())])
     return (
         spark.read.schema(schema).option("header", True).option("sep", separator).option("quote", '"').option("escape", '"')
@@ -30,12 +30,12 @@ def _too_long(names: list[str], separator: str) -> Column:
     return F.col(BAD).isNotNull() & F.col(f"`{names[-1]}`").isNotNull() & _has_more(F.col(BAD), separator, len(names))
 
 
-def read(spark: SparkSession, path: str, separator: str = ",", multi_line: bool = False, long_rows: str = "drop", place: str | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, separator: str = ",", multi_line: bool = False, long_rows: str = "drop", place: str | None = None, only: list[str] | None = None) -> DataFrame:
     """All rows as strings. Short rows are filled with empty text; rows with too many fields are dropped, or cut if
     long_rows is "cut". multi_line allows line breaks in quotes, but then a file can't be split. place names a column to add by which
-    rows are in the order of the files; it holds for one query, since it follows the splits."""
+    rows are in the order of the files; it holds for one query, since it follows the splits. With only, just these files of the path are read."""
     names = header(spark, path, separator)
-    raw = _raw(spark, path, names, separator, multi_line)
+    raw = _raw(spark, only or path, names, separator, multi_line)
     more = []
     if place:
         raw = raw.withColumn(place, F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at")))

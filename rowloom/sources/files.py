@@ -101,6 +101,13 @@ def listing(spark: SparkSession, path: str) -> list:
     return sorted(out, key=lambda s: s.getPath().toString())
 
 
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """The files below a path that Spark reads, by name: nothing that it takes for hidden."""
+    root = _at(spark, path)[0].makeQualified(_at(spark, path)[1]).toString().rstrip("/")
+    found = [s.getPath().toString() for s in listing(spark, path)]
+    return [p for p in found if not any(x.startswith(".") or (x.startswith("_") and "=" not in x) for x in p[len(root) :].split("/"))]
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """A digest of names, sizes and modification times below a path, and of the content at the begin, middle and end of its first,
     middle and last file: a file may be rewritten at equal size within a tick of the clock."""

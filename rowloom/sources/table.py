@@ -107,17 +107,23 @@ class Table:
     def header_map(self) -> dict[str, int]:
         return {name: i for i, name in enumerate(self.headers)}
 
-    def frame(self, row_id: bool = False, order: bool = False, any_order: bool = False) -> DataFrame:
+    def files(self) -> list[str]:
+        """The files of the rows by name, which is their order. Spark reads those of several files by size, the largest first."""
+        return files.data_files(self.spark, self.path)
+
+    def frame(self, row_id: bool = False, order: bool = False, any_order: bool = False, only: list[str] | None = None) -> DataFrame:
         """Current rows: file, appended rows, updates, virtual columns. With row_id each row's identity comes along, with order
-        a column ORDER, for which nothing is counted or copied. any_order allows to read a copy in another order."""
+        a column ORDER, for which nothing is counted or copied. any_order allows to read a copy in another order. With only, the rows of
+        these files come out, for a table that is not changed and without row_id."""
         state = self._state()
         if not row_id and not state["updates"] and not state["appends"]:
             if not order:
                 return self._with_virtual((self._columnar() if any_order else None) or self._plain, state)
             if self.kind == "parquet":
-                placed = self._plain.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(ORDER))
+                plain = self.spark.read.schema(self._plain.schema).option("basePath", self.path).parquet(*only) if only else self._plain
+                placed = plain.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(ORDER))
             else:
-                placed = delimited.read(self.spark, self.path, self.separator, self.multi_line, place=ORDER)
+                placed = delimited.read(self.spark, self.path, self.separator, self.multi_line, place=ORDER, only=only)
             return self._with_virtual(placed, state)
         df = self._numbered()
         if state["appends"]:

@@ -32,3 +32,9 @@ def test_appended_rows_are_numbered_as_given(spark, table):
     assert table.batch_insert(more) == 567 and table.insert({"id": "900", "k": "0"}) == 1
     lines = {r["id"]: r.line for r in table.find().with_lines().all()}
     assert sorted(lines, key=lines.get) == [str(i) for i in range(901)]
+
+
+def test_limit(table):
+    frame = table.find().select("id").offset(3).limit(50).frame()
+    assert [r.id for r in frame.collect()] == [str(i) for i in range(3, 53)]
+    assert {r.id for r in frame.repartition(3).collect()} == {str(i) for i in range(3, 53)}
