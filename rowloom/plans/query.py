@@ -7,7 +7,7 @@ import re
 import time
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, replace
-from itertools import islice
+from itertools import chain, islice
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -185,8 +185,34 @@ class Query:
         line = values.pop(ROW_ID) if self.lines else None
         return values if self.plain else ResultRow(values, line)
 
+    def _by_files(self) -> list[str]:
+        """The table's files in order, if the result's rows are theirs one after another."""
+        if self.order or self.groups or self.lines or self.table.changed or self.access_path():
+            return []
+        return self.table.files()
+
+    def _piece(self, names: list[str], at: int, n: int) -> DataFrame:
+        """Rows of n of the files in their order; a file alone is read in its order, so that a limit ends the reading."""
+        return self._lowered(ordered=n > 1, only=names[at : at + n] if len(names) > 1 else None)
+
+    def _collected(self) -> list:
+        """The rows in the given order and that of the files. A limit without an order reads files until it has its rows, four times
+        as many at each step."""
+        if self.most == 0:
+            return []
+        names = self._by_files()
+        if self.most is None:
+            return replace(self, skip=0)._lowered(ordered=len(names) != 1).collect()[self.skip :]
+        if not names:
+            return self._lowered().collect()
+        rows, need, at, n = [], self.skip + self.most, 0, 1
+        while len(rows) < need and at < len(names):
+            rows += replace(self, most=need - len(rows), skip=0)._piece(names, at, min(n, len(names) - at)).collect()
+            at, n = at + n, n * 4
+        return rows[self.skip :]
+
     def all(self) -> Any:
-        rows = [self._wrap(r) for r in self.frame().collect()]
+        rows = [self._wrap(r) for r in self._collected()]
         if self.key is None:
             return rows
         pick = self.key if callable(self.key) else lambda r: r[self.key]
@@ -204,22 +230,26 @@ class Query:
         return df.groupBy(F.col(f"`{column}`").alias("_key")).agg(F.max_by(F.struct(*[f"`{c}`" for c in names]), place).alias("_row")).select("_row.*")
 
     def one(self) -> Any:
-        found = replace(self, most=1).frame().collect() if self.most != 0 else []
+        found = replace(self, most=1)._collected() if self.most != 0 else []
         return self._wrap(found[0]) if found else None
 
     def scalar(self) -> Any:
-        found = replace(self, most=1).frame().collect() if self.most != 0 else []
+        found = replace(self, most=1)._collected() if self.most != 0 else []
         return found[0][0] if found else None
 
     def column(self) -> list:
-        df = self.frame()
-        return [r[0] for r in df.select(f"`{df.columns[0]}`").collect()]
+        first = self.columns[0] if self.columns else self.table.headers[0]
+        return [r[0] for r in replace(self, columns=(first,))._collected()]
 
     def each(self) -> Iterator[Any]:
-        """Row by row. A limit without an order ends the reading."""
-        if self.order or self.groups:
-            return map(self._wrap, streams.each(self.frame()))
-        rows = streams.each(replace(self, most=None, skip=0).frame())
+        """Row by row, in the given order and that of the files. A limit without an order ends the reading."""
+        names, whole = self._by_files(), replace(self, most=None, skip=0)
+        if names:
+            rows = chain.from_iterable(streams.each(whole._piece(names, i, 1)) for i in range(len(names)))
+        elif self.most is None:
+            rows = streams.each(whole._lowered(ordered=True))
+        else:
+            return map(self._wrap, streams.each(self._lowered()))
         return map(self._wrap, islice(rows, self.skip, None if self.most is None else self.skip + self.most))
 
     def batch(self, size: int = 100) -> Iterator[list]:

@@ -117,14 +117,14 @@ class Table:
         these files come out, for a table that is not changed and without row_id."""
         state = self._state()
         if not row_id and not state["updates"] and not state["appends"]:
-            if not order:
+            if not order and not only:
                 return self._with_virtual((self._columnar() if any_order else None) or self._plain, state)
             if self.kind == "parquet":
                 plain = self.spark.read.schema(self._plain.schema).option("basePath", self.path).parquet(*only) if only else self._plain
                 placed = plain.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(ORDER))
             else:
                 placed = delimited.read(self.spark, self.path, self.separator, self.multi_line, place=ORDER, only=only)
-            return self._with_virtual(placed, state)
+            return self._with_virtual(placed if order else placed.drop(ORDER), state)
         df = self._numbered()
         if state["appends"]:
             stored = T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])

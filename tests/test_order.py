@@ -38,3 +38,9 @@ def test_limit(table):
     frame = table.find().select("id").offset(3).limit(50).frame()
     assert [r.id for r in frame.collect()] == [str(i) for i in range(3, 53)]
     assert {r.id for r in frame.repartition(3).collect()} == {str(i) for i in range(3, 53)}
+
+
+def test_one(table):
+    assert table.find().one()["id"] == "0" and table.find().where({"k": 3}).scalar() == "3"
+    assert table.find().offset(4).one()["id"] == "4" and table.find().limit(0).one() is None
+    assert table.find().where([">", "id", 330]).scalar() == "331"
