@@ -44,3 +44,8 @@ def test_one(table):
     assert table.find().one()["id"] == "0" and table.find().where({"k": 3}).scalar() == "3"
     assert table.find().offset(4).one()["id"] == "4" and table.find().limit(0).one() is None
     assert table.find().where([">", "id", 330]).scalar() == "331"
+
+
+def test_each(table):
+    assert [r["id"] for r in table.find().each()] == [str(i) for i in range(sum(SIZES))]
+    assert [r["id"] for r in table.find().offset(2).limit(60).each()] == [str(i) for i in range(2, 62)]
