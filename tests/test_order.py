@@ -49,3 +49,9 @@ def test_one(table):
 def test_each(table):
     assert [r["id"] for r in table.find().each()] == [str(i) for i in range(sum(SIZES))]
     assert [r["id"] for r in table.find().offset(2).limit(60).each()] == [str(i) for i in range(2, 62)]
+
+
+def test_batch(table):
+    assert [[r["id"] for r in b] for b in table.find().limit(5).batch(2)] == [["0", "1"], ["2", "3"], ["4"]]
+    table.update({"k": "x"}, {"id": "1"})
+    assert [[r["id"] for r in b] for b in table.find().limit(5).batch(2)] == [["0", "1"], ["2", "3"], ["4"]]
