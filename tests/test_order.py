@@ -55,3 +55,20 @@ def test_batch(table):
     assert [[r["id"] for r in b] for b in table.find().limit(5).batch(2)] == [["0", "1"], ["2", "3"], ["4"]]
     table.update({"k": "x"}, {"id": "1"})
     assert [[r["id"] for r in b] for b in table.find().limit(5).batch(2)] == [["0", "1"], ["2", "3"], ["4"]]
+
+
+def test_all_and_index_by(table):
+    assert [r["id"] for r in table.find().all()] == table.find().column() == [str(i) for i in range(sum(SIZES))]
+    assert {k: r["id"] for k, r in table.find().index_by("k").all().items()} == {"0": "332", "1": "329", "2": "330", "3": "331"}
+    assert table.find().offset(330).column() == ["330", "331", "332"] and table.find().limit(45).column() == [str(i) for i in range(45)]
+
+
+def test_parquet(spark, tmp_path):
+    spark.range(700, numPartitions=1).write.parquet(str(tmp_path / "big"))
+    spark.range(3, numPartitions=1).write.parquet(str(tmp_path / "small"))
+    (tmp_path / "t").mkdir()
+    for i, n in enumerate(("small", "big", "small")):
+        (tmp_path / "t" / f"{i}.parquet").write_bytes(next((tmp_path / n).glob("part-*.parquet")).read_bytes())
+    q = Table(spark, str(tmp_path / "t"), "parquet", state_dir=str(tmp_path / "state")).find()
+    want = [0, 1, 2, *range(700), 0, 1, 2]
+    assert q.column() == want and [r["id"] for r in q.limit(7).each()] == want[:7] and q.limit(5).column() == want[:5]
