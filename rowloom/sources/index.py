@@ -24,6 +24,8 @@ if TYPE_CHECKING:
 
 FILE_BYTES = 64 << 20  # of the table for each file of a copy
 LEAST_BYTES = 1 << 20  # smaller tables get as many files as there are cores to sort them, each of so much of the table at least
+TASK_BYTES = 128 << 20  # of rows as a task holds them to sort them, for each file of a copy
+SPLIT_BYTES = 32 << 20  # of the table for each task that deals rows out, since beyond 200 files Spark holds what it deals
 FOOTERS = 64  # files whose statistics an estimate reads
 
 
@@ -67,7 +69,8 @@ class Indexes:
         rows = rows.withColumns({number_of(c): compare.to_double(F.col(f"`{c}`"), T.StringType()) + F.lit(0.0) for c in texts})
         sort = [[x for c in k for x in ([number_of(c)] if c in texts else []) + [c]] for k in keys]
         size = files.size(spark, table.path) * len(keys)
-        n_files = max(1, -(-size // FILE_BYTES), min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES))
+        held = rows.count() * len(keys) * _row_bytes(table, len(rows.columns)) + size * (4 if table.kind == "parquet" else 1)
+        n_files = max(1, -(-size // FILE_BYTES), -(-held // TASK_BYTES), min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES))
         if len(keys) == 1:
             order: list[Column] = [F.col(f"`{c}`") for c in sort[0]]
         else:  # a row for each copy; the columns of other copies' keys count as null
@@ -77,7 +80,7 @@ class Indexes:
         writer = dealt.sortWithinPartitions(*order, ROW_ID).write.mode("overwrite").option("parquet.block.size", 32 << 20)
         for c in dict.fromkeys(c for own in sort for c in own) if bloom else ():
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.enable.dictionary#{c}", "false")
-        with _progress(spark, verbose):
+        with _progress(spark, verbose), _splits(spark, SPLIT_BYTES // len(keys)):
             if len(keys) == 1:
                 writer.parquet(f"{self.folder}/{names[0]}")
             else:
@@ -174,6 +177,24 @@ class Indexes:
         return left * step, total * step
 
 
+def _row_bytes(table: Table, columns: int) -> int:
+    """Memory of a row that is sorted, without its texts: however well the table is compressed, rows are not. The identity of a Parquet row has its path."""
+    return 64 + 16 * columns + (len(table.path) + 24 if table.kind == "parquet" else 0)
+
+
+@contextmanager
+def _splits(spark: SparkSession, most: int) -> Iterator[None]:
+    """Tables are read in splits of so many bytes at most."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    if spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() > most:
+        spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _row_groups(spark: SparkSession, path: Any) -> list:
     parquet = spark._jvm.org.apache.parquet.hadoop
     reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(path, spark._jsc.hadoopConfiguration()))
