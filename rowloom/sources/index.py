@@ -25,7 +25,7 @@ if TYPE_CHECKING:
 FILE_BYTES = 64 << 20  # of the table for each file of a copy
 LEAST_BYTES = 1 << 20  # smaller tables get as many files as there are cores to sort them, each of so much of the table at least
 TASK_BYTES = 128 << 20  # of rows as a task holds them to sort them, for each file of a copy
-SPLIT_BYTES = 32 << 20  # of the table for each task that deals rows out, since beyond 200 files Spark holds what it deals
+SPLIT_BYTES = 32 << 20  # of the table at most for each task that deals rows out, and twice TASK_BYTES of rows: beyond 200 files Spark holds what it deals
 FOOTERS = 64  # files whose statistics an estimate reads
 
 
@@ -80,7 +80,7 @@ class Indexes:
         writer = dealt.sortWithinPartitions(*order, ROW_ID).write.mode("overwrite").option("parquet.block.size", 32 << 20)
         for c in dict.fromkeys(c for own in sort for c in own) if bloom else ():
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.enable.dictionary#{c}", "false")
-        with _progress(spark, verbose), _splits(spark, SPLIT_BYTES // len(keys)):
+        with _progress(spark, verbose), _splits(spark, min(SPLIT_BYTES // len(keys), max(1 << 20, 2 * TASK_BYTES * size // len(keys) // max(1, held)))):
             if len(keys) == 1:
                 writer.parquet(f"{self.folder}/{names[0]}")
             else:
