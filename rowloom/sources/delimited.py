@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,14 +62,30 @@ def _has_more(line: Column, separator: str, n: int) -> Column:
 
 def with_row_numbers(df: DataFrame, name: str = ROW_ID, start: int = 1, place: str | None = None) -> DataFrame:
     """Rows numbered in the order of the files, from one count per split. Spark deals the splits of several files to partitions by their
-    size, so place names a struct that has file_path and file_block_start, which is left out; without it partitions count as splits."""
+    size, so place names a struct that has file_path and file_block_start, which is left out; without it partitions count as splits.
+    The rows are read twice: run it within steady_splits. Where the second reading deals its rows otherwise, it fails."""
     tagged = df.withColumn("_at", F.monotonically_increasing_id())
     split = F.struct(f"{place}.file_path", f"{place}.file_block_start") if place else F.shiftright("_at", 33)
     counts = tagged.groupBy(split.alias("_split")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = counts.select("_split", (F.sum("_n").over(Window.orderBy("_split")) - F.col("_n") - F.col("_first")).alias("_shift"))  # a row per split
+    before = counts.select("_split", "_n", "_first", (F.sum("_n").over(Window.orderBy("_split")) - F.col("_n")).alias("_before"))  # a row per split
     numbered = tagged.withColumn("_split", split).join(F.broadcast(before), "_split", "left")
-    shift = F.coalesce("_shift", F.raise_error(F.lit("splits changed while rows were numbered")).cast("long"))
-    return numbered.select(*[f"`{c}`" for c in df.columns if c != place], (shift + F.col("_at") + start).alias(name))
+    at = F.col("_at") - F.col("_first")
+    number = F.when((at >= 0) & (at < F.col("_n")), F.col("_before") + at + start).otherwise(F.raise_error(F.lit("splits changed while rows were numbered")).cast("long"))
+    return numbered.select(*[f"`{c}`" for c in df.columns if c != place], number.alias(name))
+
+
+@contextmanager
+def steady_splits(spark: SparkSession) -> Iterator[None]:
+    """Tables are dealt to as many partitions as the cores of now ask for, also when executors come or go."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    if not before:
+        spark.conf.set(name, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if not before:
+            spark.conf.unset(name)
 
 
 def write(df: DataFrame, path: str, separator: str = ",") -> None:

@@ -78,7 +78,8 @@ class Table:
         folder = self._rows_folder
         if not files.exists(self.spark, f"{folder}/_SUCCESS"):
             placed = delimited.read(self.spark, self.path, self.separator, self.multi_line, place=ORDER)
-            delimited.with_row_numbers(placed, place=ORDER).write.mode("overwrite").parquet(folder)
+            with delimited.steady_splits(self.spark):
+                delimited.with_row_numbers(placed, place=ORDER).write.mode("overwrite").parquet(folder)
         return self.spark.read.parquet(folder)
 
     @property
@@ -196,7 +197,8 @@ class Table:
             numbered = delimited.with_row_numbers(placed, start=batch * BATCH, place=ORDER)
             if self.kind == "parquet":
                 numbered = numbered.withColumn(ROW_ID, F.format_string("~%020d", ROW_ID))
-            numbered.write.mode("overwrite").parquet(f"{self.state_dir}/appends/batch={batch}")
+            with delimited.steady_splits(self.spark):
+                numbered.write.mode("overwrite").parquet(f"{self.state_dir}/appends/batch={batch}")
             self._save(state | {"appends": batch})
         n = written.count()
         files.delete(self.spark, draft)

@@ -1,8 +1,12 @@
 """Rows of several files, of which Spark reads the largest first, in the order of the files."""
 
+import threading
+import time
+
 import pytest
 
-from rowloom.sources.table import Table
+from rowloom.sources import delimited
+from rowloom.sources.table import ORDER, Table
 
 SIZES = (3, 40, 9, 200, 1, 80)
 
@@ -26,6 +30,40 @@ def test_offsets(table):
     assert list(table.find().where({"k": 3}).offsets()) == [f"{i + 1}\n" for i in range(3, sum(SIZES), 4)]
 
 
+@pytest.fixture
+def cores_go(spark, monkeypatch):
+    """Of the cores that Spark's splits follow one is left, from the first stage on that runs after rows were to be numbered."""
+    name, numbered, threads = "spark.sql.leafNodeDefaultParallelism", delimited.with_row_numbers, []
+
+    def wait():
+        while not spark.sparkContext.statusTracker().getActiveStageIds():
+            time.sleep(0.001)
+        spark.conf.set(name, "1")
+
+    def watched(*args, **more):
+        out = numbered(*args, **more)
+        threads.append(threading.Thread(target=wait))
+        threads[-1].start()
+        return out
+
+    monkeypatch.setattr(delimited, "with_row_numbers", watched)
+    yield
+    for t in threads:
+        t.join()
+    spark.conf.unset(name)
+
+
+def test_offsets_while_executors_go(spark, table, cores_go):
+    assert list(table.find().where({"k": 3}).offsets()) == [f"{i + 1}\n" for i in range(3, sum(SIZES), 4)]
+    assert spark.conf.get("spark.sql.leafNodeDefaultParallelism") == "1" and spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
+def test_numbers_of_other_splits_are_refused(spark, table, cores_go):
+    placed = delimited.read(spark, table.path, place=ORDER)
+    with pytest.raises(Exception, match="splits changed"):
+        delimited.with_row_numbers(placed, place=ORDER).collect()
+
+
 def test_appended_rows_are_numbered_as_given(spark, table):
     more = spark.createDataFrame(spark.sparkContext.parallelize([(str(i), "0") for i in range(333, 340)], 1), "id string, k string")
     more = more.union(spark.range(340, 900, numPartitions=1).selectExpr("cast(id as string)", "'0'"))
