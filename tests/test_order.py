@@ -1,14 +1,19 @@
 """Rows of several files, of which Spark reads the largest first, in the order of the files."""
 
+import os
 import threading
 import time
+from pathlib import Path
 
+import duckdb
 import pytest
 
+from rowloom import catalogue
 from rowloom.sources import delimited
 from rowloom.sources.table import ORDER, Table
 
 SIZES = (3, 40, 9, 200, 1, 80)
+DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
@@ -110,3 +115,20 @@ def test_parquet(spark, tmp_path):
     q = Table(spark, str(tmp_path / "t"), "parquet", state_dir=str(tmp_path / "state")).find()
     want = [0, 1, 2, *range(700), 0, 1, 2]
     assert q.column() == want and [r["id"] for r in q.limit(7).each()] == want[:7] and q.limit(5).column() == want[:5]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", ["csv_batch"])
+def test_same_as_sql_over_files(spark, monkeypatch, name):
+    """The text is written as four files, of which the first is not the largest, and the last not the smallest."""
+    made, tables = catalogue._csv, []
+    monkeypatch.setattr(catalogue, "_csv", lambda *args, **more: tables.append(made(*args, **more)) or tables[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [tuple(r) for r in catalogue.QUERIES[name](spark, DATA).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = duckdb.connect().execute(f"create view customer as select * from '{DATA}/customer.parquet'").execute(catalogue.ORACLE_SQL[name]).fetchall()
+    sizes = [p.stat().st_size for p in sorted(Path(tables[0].path.removeprefix("file://")).glob("part-*"))]
+    assert len(sizes) == 4 and sizes[0] < max(sizes) and sizes[-1] > min(sizes)
+    assert sorted(got) == sorted(want)
