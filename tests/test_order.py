@@ -118,7 +118,7 @@ def test_parquet(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["csv_batch", "csv_each"])
+@pytest.mark.parametrize("name", ["csv_batch", "csv_each", "csv_index_by"])
 def test_same_as_sql_over_files(spark, monkeypatch, name):
     """The text is written as four files, of which the first is not the largest, and the last not the smallest."""
     made, tables = catalogue._csv, []
